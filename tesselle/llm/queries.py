@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesselle.llm import chat, ogg, tokenbin
+from tesselle.llm import chat, langid, ogg, spm, tokenbin, toxicity
+from tesselle.llm.langid import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,33 @@ def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.decode_media(ogg.encode_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_perspectives, op3_token_shards, op6_ogg_media)}
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Trained on labelled documents outside the held-out fifth."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id"), "toxic").dropDuplicates(["doc_id"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return toxicity.fit(docs.join(labels, "doc_id"), fold(F.col("doc_id"), 5) != 0)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity_model(spark, sf_dir)
+    scored = toxicity.score(table(spark, sf_dir, "documents"), model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> langid.Model:
+    """Learned from documents outside the held-out quarter."""
+    return langid.fit(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) != 2)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = langid.predict(table(spark, sf_dir, "documents"), language_model(spark, sf_dir))
+    return got.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode_digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_perspectives, op3_token_shards, op5_toxicity, op6_ogg_media, op8_language, op10_sentencepiece)}
 
 ORACLE_SQL = {"op2_chat_perspectives": chat.SQL}
