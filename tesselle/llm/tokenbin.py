@@ -39,6 +39,9 @@ def _byte_table() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+BLANK = _byte_table()[32]
+
+
 class _Unsafe(Exception):
     pass
 
@@ -51,7 +54,7 @@ class UnitEncoder(dict):
     a blank go through the library as a whole. The memory is emptied when it holds ``most`` units.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 900_000):
         super().__init__()
         import regex
         from tokenizers import Tokenizer
@@ -59,18 +62,38 @@ class UnitEncoder(dict):
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.model, self.most = self.tok.model, most
-        self.table = {b: c for b, c in _byte_table().items() if chr(b) != c}
+        table = _byte_table()
+        self.table = [table[b] for b in range(256)]
         self.pieces = regex.compile(PRETOKEN).findall
+        #: packed ids of the shortest pre-tokens, marks and digits mostly
+        self.words: dict[str, bytes] = {}
+
+    def _piece(self, p: str) -> bytes:
+        """Packed ids of one pre-token."""
+        got = self.words.get(p)
+        if got is None:
+            ids = [t.id for t in self.model.tokenize("".join(map(self.table.__getitem__, p.encode())))]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(p) < 4:
+                self.words[p] = got
+        return got
 
     def _pack(self, unit: str) -> bytes:
-        tokenize, table = self.model.tokenize, self.table
-        ids = [t.id for p in self.pieces(unit) for t in tokenize(p.encode().decode("latin-1").translate(table))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self._piece, self.pieces(unit)))
 
     def __missing__(self, unit: str) -> bytes:
-        if not unit or unit[0].isspace() or unit[-1].isspace():
+        if unit.isalpha():
+            if unit.isascii():
+                ids = [t.id for t in self.model.tokenize(BLANK + unit)]
+                got = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                got = self._piece(" " + unit)
+        elif not unit or unit[0].isspace() or unit[-1].isspace():
             raise _Unsafe
-        got = self._pack(" " + unit)
+        elif unit[-1] in ".," and unit[:-1].isalpha():
+            got = self[unit[:-1]] + self._piece(unit[-1])
+        else:
+            got = self._pack(" " + unit)
         self[unit] = got
         return got
 
@@ -80,6 +103,7 @@ class UnitEncoder(dict):
             return b""
         if len(self) > self.most:
             self.clear()
+            self.words.clear()
         units = text.split(" ")
         if len(units) == 1:
             return self._pack(text)
