@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselle.llm import chat, langid, ogg, spm, tokenbin, toxicity
+from tesselle.llm import chat, langid, minhash, ogg, spm, tokenbin, toxicity
 from tesselle.llm.langid import fold
 
 
@@ -24,6 +24,10 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -63,6 +67,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_perspectives, op3_token_shards, op5_toxicity, op6_ogg_media, op8_language, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_chat_perspectives, op3_token_shards, op5_toxicity, op6_ogg_media, op8_language, op10_sentencepiece)}
 
 ORACLE_SQL = {"op2_chat_perspectives": chat.SQL}
