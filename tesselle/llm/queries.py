@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselle.llm import chat, langid, minhash, ogg, spm, tokenbin, toxicity
+from tesselle.llm import chat, embed_dedup, langid, minhash, mixing, ogg, spm, tokenbin, toxicity
 from tesselle.llm.langid import fold
 
 
@@ -40,6 +40,14 @@ def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.decode_media(ogg.encode_media(table(spark, sf_dir, "documents")))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link_components(table(spark, sf_dir, "embeddings"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Trained on labelled documents outside the held-out fifth."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id"), "toxic").dropDuplicates(["doc_id"])
@@ -67,6 +75,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_chat_perspectives, op3_token_shards, op5_toxicity, op6_ogg_media, op8_language, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_chat_perspectives, op3_token_shards, op4_mix, op5_toxicity, op6_ogg_media, op7_embedding_dedup, op8_language, op10_sentencepiece)}
 
-ORACLE_SQL = {"op2_chat_perspectives": chat.SQL}
+ORACLE_SQL = {"op2_chat_perspectives": chat.SQL, "op4_mix": mixing.SQL}
