@@ -123,13 +123,17 @@ class Model:
         self.langs, self.prototypes, self.dim = langs, prototypes, prototypes.shape[1]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        return self.compare(texts)[:2]
+
+    def compare(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores, and the cosines with every prototype."""
         if not self.langs:
-            return [UND] * len(texts), np.zeros(len(texts))
+            return [UND] * len(texts), np.zeros(len(texts)), np.zeros((len(texts), 0))
         v, letters = profiles(texts, self.dim)
         cos = v @ self.prototypes.T
         best = cos.argmax(axis=1)
         score = np.clip(cos[np.arange(len(texts)), best].astype(np.float64), 0, 1)
-        return [self.langs[b] if n else UND for b, n in zip(best, letters)], np.where(letters > 0, score, 0.0)
+        return [self.langs[b] if n else UND for b, n in zip(best, letters)], np.where(letters > 0, score, 0.0), cos
 
 
 def fit(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_PER_LANG, dim: int = DIM, tasks: int = 8) -> Model:
@@ -160,22 +164,29 @@ def fit(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_PER_LANG, dim: i
     return Model(langs, protos)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default doc_id) with lang_pred and score of each whole text."""
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, declared: str | None = None) -> DataFrame:
+    """Columns ``keep`` (default doc_id) with lang_pred and score of each whole text.
+
+    With ``declared``, a language column, ``declared_score`` is the cosine with that language's
+    prototype, null where it is null or was not learned; prediction and score do not depend on it.
+    """
     keep = keep or ["doc_id"]
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.langs, model.prototypes))
-    schema = docs.select(*keep).schema
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prototypes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
+        place = {x: k for k, x in enumerate(m.langs)}
         for b in batches:
             for part, texts in slices(b, b.num_columns - 1):
-                lang, score = m.predict(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+                lang, score, cos = m.compare(texts)
+                said = [place.get(x) for x in part.column(part.num_columns - 2).to_pylist()]
+                own = [None if k is None else float(row[k]) for k, row in zip(said, cos)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(own, pa.float64())], names=[*keep, "lang_pred", "score", "declared_score"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    said = F.col(declared).cast("string") if declared else F.lit(None).cast("string")
+    out = docs.select(*keep, said.alias("__said"), F.col("text").alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double, declared_score double")
+    return out if declared else out.drop("declared_score")
 
 
 def crc_fold(doc_id: int | None, of: int) -> int:

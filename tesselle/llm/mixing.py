@@ -99,7 +99,8 @@ def repeat_taken(docs: DataFrame, columns: list[str]) -> DataFrame:
     part = F.col("taken") - F.floor(F.col("taken") / F.greatest("size", F.lit(1))) * F.col("size")
     rows = p.withColumn("__part", part).filter(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
     cut = (F.col("__copy") == copies) & (F.col("__part") > 0)
-    head = F.expr(r"regexp_extract(text, concat('^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*+){', cast(__part - 1 as string), '}[^\\x20\\x09-\\x0D]+'), 0)")
+    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    head = F.array_join(F.slice(pieces, F.lit(1), F.col("__part").cast("int")), "")
     out = rows.withColumn("text", F.when(cut, head).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))

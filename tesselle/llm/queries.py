@@ -50,9 +50,7 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Trained on labelled documents outside the held-out fifth."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id"), "toxic").dropDuplicates(["doc_id"])
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return toxicity.fit(docs.join(labels, "doc_id"), fold(F.col("doc_id"), 5) != 0)
+    return toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,14 +203,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(labelled: DataFrame, usable: Column, params: Params = Params()) -> Model:
-    """Train on the rows (doc_id, text, lang, toxic) where ``usable`` holds and toxic is 0 or 1.
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, params: Params = Params()) -> Model:
+    """Train on labelled documents: ``docs`` has doc_id, text, lang; ``labels`` has doc_id and toxic, 0 or 1.
 
-    About ``params.most`` rows of each class at most are taken, whole, by a hash of doc_id. Without
-    both classes the model answers the one class it has seen, or 0.
+    ``usable``, a condition on doc_id, tells which labels may be seen. Labels are sampled before they
+    meet the documents: about ``params.most`` of each class at most, by a hash of doc_id, so that the
+    side sent to all executors is bounded; their documents are taken whole. Of several labels of one
+    document the larger counts. Without both classes the model answers the one class it has seen, or 0.
     """
-    rows = labelled.filter(usable & F.col("toxic").isin(0, 1)).select("doc_id", "text", "lang", "toxic")
-    taken = rows.filter(unit_hash(F.col("doc_id"), 5) < sample_rate(rows, "toxic", params.most))
+    seen = labels.filter(usable & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    sampled = seen.filter(unit_hash(F.col("doc_id"), 5) < sample_rate(seen, "toxic", params.most)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    taken = docs.select("doc_id", "text", "lang").join(F.broadcast(sampled), "doc_id")
     buckets = params.buckets
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
