@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselle.llm import chat, embed_dedup, langid, minhash, mixing, ogg, spm, tokenbin, toxicity
+from tesselle.llm import chat, embed_dedup, langid, licenses, minhash, mixing, ogg, spm, tokenbin, toxicity
 from tesselle.llm.langid import fold
 
 
@@ -69,10 +69,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_chat_perspectives, op3_token_shards, op4_mix, op5_toxicity, op6_ogg_media, op7_embedding_dedup, op8_language, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_chat_perspectives, op3_token_shards, op4_mix, op5_toxicity, op6_ogg_media, op7_embedding_dedup, op8_language, op9_license_scan, op10_sentencepiece)}
 
 ORACLE_SQL = {"op2_chat_perspectives": chat.SQL, "op4_mix": mixing.SQL}
