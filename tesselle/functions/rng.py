@@ -35,20 +35,27 @@ def _times(x: Column, c: int) -> Column:
     return (low + F.shiftleft(high, 16)).bitwiseAND(_u32(MASK))
 
 
+def _bind(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def mix_seed(seed: Column) -> Column:
     """Initial state of a seed (its low 32 bits)."""
     x = (seed.cast("long").bitwiseAND(_u32(MASK)) + _u32(MIX_ADD)).bitwiseAND(_u32(MASK))
-    x = _times(_xor(x, F.shiftright(x, 16)), MIX_A)
-    x = _times(_xor(x, F.shiftright(x, 13)), MIX_B)
-    return _xor(x, F.shiftright(x, 16))
+    x = _bind(x, lambda v: _xor(v, F.shiftright(v, 16)))
+    x = _bind(x, lambda v: _times(v, MIX_A))
+    x = _bind(x, lambda v: _xor(v, F.shiftright(v, 13)))
+    x = _bind(x, lambda v: _times(v, MIX_B))
+    return _bind(x, lambda v: _xor(v, F.shiftright(v, 16)))
 
 
 def step(x: Column) -> Column:
     """Next state, which is also the next draw."""
     a, b, c = SHIFTS
-    x = _xor(x, F.shiftleft(x, a).bitwiseAND(_u32(MASK)))
-    x = _xor(x, F.shiftright(x, b))
-    return _xor(x, F.shiftleft(x, c).bitwiseAND(_u32(MASK)))
+    x = _bind(x, lambda v: _xor(v, F.shiftleft(v, a).bitwiseAND(_u32(MASK))))
+    x = _bind(x, lambda v: _xor(v, F.shiftright(v, b)))
+    return _bind(x, lambda v: _xor(v, F.shiftleft(v, c).bitwiseAND(_u32(MASK))))
 
 
 def step_int(x: int) -> int:
@@ -76,18 +83,30 @@ def _jump(k: int) -> tuple[int, ...]:
 
 
 def skip(state: Column, steps: Column, most_bits: int = 32) -> Column:
-    """State after a number of steps, by one matrix for each bit of that number."""
-    for k in range(most_bits):
-        moved = F.aggregate(F.array(*[_u32(v).alias("v") for v in _jump(k)]), F.struct(_u32(0).alias("x"), state.alias("s")), lambda a, v: F.struct(_xor(a.x, v * a.s.bitwiseAND(_u32(1))).alias("x"), F.shiftright(a.s, 1).alias("s")))["x"]
-        state = F.when(F.shiftright(steps, k).bitwiseAND(_u32(1)) == 1, moved).otherwise(state)
-    return state
+    """State after a number of steps (below 2^most_bits), by one matrix for each bit of that number."""
+    tables = F.array(*[F.array(*[_u32(v) for v in _jump(k)]) for k in range(most_bits)])
+    start = F.struct(state.alias("s"), steps.cast("long").alias("n"))
+
+    def moved(s: Column, columns: Column) -> Column:
+        walked = F.aggregate(columns, F.struct(_u32(0).alias("x"), s.alias("r")), lambda a, v: F.struct(_xor(a["x"], v * a["r"].bitwiseAND(_u32(1))).alias("x"), F.shiftright(a["r"], 1).alias("r")))
+        return walked["x"]
+
+    def bit(a: Column, columns: Column) -> Column:
+        on = a["n"].bitwiseAND(_u32(1)) == 1
+        return F.struct(F.when(on, moved(a["s"], columns)).otherwise(a["s"]).alias("s"), F.shiftright(a["n"], 1).alias("n"))
+
+    return F.aggregate(tables, start, bit)["s"]
 
 
 def draws(state: Column, n: int) -> Column:
     """The next ``n`` draws as an array."""
     first = F.struct(F.array().cast("array<bigint>").alias("out"), state.alias("s"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(n)), first, lambda a, _: F.struct(F.concat(a.out, F.array(step(a.s))).alias("out"), step(a.s).alias("s")))
-    return walked["out"]
+
+
+    def more(a: Column, _: Column) -> Column:
+        return _bind(step(a["s"]), lambda s: F.struct(F.concat(a["out"], F.array(s)).alias("out"), s.alias("s")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), first, more)["out"]
 
 
 def stream(seeds: DataFrame, seed: str, n: int) -> DataFrame:

@@ -204,16 +204,26 @@ def _clamp(v: Column, n: str) -> Column:
     return F.least(F.greatest(v, F.lit(0)), F.col(n) - 1).cast("int")
 
 
-def downscale_nearest(pixels: DataFrame, ratio: float, value: str = "v") -> DataFrame:
+def _names(value: str | tuple[str, ...]) -> list[str]:
+    return [value] if isinstance(value, str) else list(value)
+
+
+def _rounded(names: list[str]) -> list[Column]:
+    """Channels rounded half away from zero into 0..255; sums are cut to nine decimals first, so that their order does not decide."""
+    return [F.least(F.greatest(F.round(F.round(n, 9)), F.lit(0.0)), F.lit(255.0)).cast("int").alias(n) for n in names]
+
+
+def downscale_nearest(pixels: DataFrame, ratio: float, value: str | tuple[str, ...] = "v") -> DataFrame:
+    """The pixel at floor((target + 0.5) / s), clamped to the image; one channel or several."""
     s = _ratio(ratio)
     if abs(s - 1) < 1e-7:
         return pixels
     g = _grid(pixels, s)
     g = g.select("image_id", "ty", "tx", _clamp(F.floor((F.col("ty") + 0.5) / s), "height").alias("y"), _clamp(F.floor((F.col("tx") + 0.5) / s), "width").alias("x"))
-    return g.join(pixels, ["image_id", "y", "x"]).select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), value)
+    return g.join(pixels, ["image_id", "y", "x"]).select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), *_names(value))
 
 
-def downscale_bilinear(pixels: DataFrame, ratio: float, value: str = "v") -> DataFrame:
+def downscale_bilinear(pixels: DataFrame, ratio: float, value: str | tuple[str, ...] = "v") -> DataFrame:
     """Four neighbours around (target + 0.5) / s - 0.5, clamped to the image; rounded half away from zero."""
     s = _ratio(ratio)
     if abs(s - 1) < 1e-7:
@@ -225,11 +235,11 @@ def downscale_bilinear(pixels: DataFrame, ratio: float, value: str = "v") -> Dat
     g = g.withColumn("c", corner)
     w = F.when(F.col("c.a") == 1, F.col("wy")).otherwise(1 - F.col("wy")) * F.when(F.col("c.b") == 1, F.col("wx")).otherwise(1 - F.col("wx"))
     g = g.select("image_id", "ty", "tx", _clamp(F.col("y0") + F.col("c.a"), "height").alias("y"), _clamp(F.col("x0") + F.col("c.b"), "width").alias("x"), w.alias("w"))
-    out = g.join(pixels, ["image_id", "y", "x"]).groupBy("image_id", "ty", "tx").agg(F.round(F.sum(F.col("w") * F.col(value))).alias("s"))
-    return out.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), F.least(F.greatest(F.col("s"), F.lit(0.0)), F.lit(255.0)).cast("int").alias(value))
+    out = g.join(pixels, ["image_id", "y", "x"]).groupBy("image_id", "ty", "tx").agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n in _names(value)])
+    return out.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), *_rounded(_names(value)))
 
 
-def downscale_area(pixels: DataFrame, ratio: float, value: str = "v") -> DataFrame:
+def downscale_area(pixels: DataFrame, ratio: float, value: str | tuple[str, ...] = "v") -> DataFrame:
     """Box filter for ratios of 2 and more, bilinear below.
 
     A target pixel covers [i / s - 0.5, (i + 1) / s - 0.5] of its axis, cut at the image. Each source
@@ -259,8 +269,8 @@ def downscale_area(pixels: DataFrame, ratio: float, value: str = "v") -> DataFra
     p = p.withColumn("ty", bins("y", "height")).withColumn("tx", bins("x", "width"))
     p = p.withColumn("oy", share("ty", "y", "height")).withColumn("ox", share("tx", "x", "width")).filter("oy > 0 and ox > 0")
     w = F.col("oy") * F.col("ox")
-    out = p.groupBy("image_id", "ty", "tx").agg(F.round(F.sum(w * F.col(value)) / F.sum(w)).alias("s"))
-    return out.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), F.least(F.greatest(F.col("s"), F.lit(0.0)), F.lit(255.0)).cast("int").alias(value))
+    out = p.groupBy("image_id", "ty", "tx").agg(*[(F.sum(w * F.col(n)) / F.sum(w)).alias(n) for n in _names(value)])
+    return out.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), *_rounded(_names(value)))
 
 
 # ---- layout ----
