@@ -18,11 +18,15 @@ from tesselle.llm.storage import materialize
 LANGUAGE_MARGIN = 0.25
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """What the operators read, and the whole row beside it under a name of its own, so that no other column can clash."""
+    return docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go. The classifier learns from the labelled ones outside the held-out fifth."""
-    columns = docs.columns
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
-    return toxicity.score(docs, model, columns).filter(F.col("score") < 0.5).select(*columns)
+    return toxicity.score(_packed(docs), model, ["__row"]).filter(F.col("score") < 0.5).select("__row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +35,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Far means that the best language's cosine exceeds the declared one's by LANGUAGE_MARGIN; a null
     or unknown declaration rejects nothing.
     """
-    columns = docs.columns
     model = langid.fit(docs, fold(F.col("doc_id"), 4) != 2)
-    got = langid.predict(docs, model, columns, declared="lang")
+    got = langid.predict(_packed(docs), model, ["__row"], declared="lang")
     far = F.coalesce(F.col("score") - F.col("declared_score") > LANGUAGE_MARGIN, F.lit(False))
-    return got.filter((F.col("lang_pred") != langid.UND) & ~far).select(*columns)
+    return got.filter((F.col("lang_pred") != langid.UND) & ~far).select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; at each source's cut one is shortened to the words taken."""
-    return mixing.repeat_taken(docs, docs.columns)
+    return mixing.repeat_taken(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UND = "und"
 DIM = 1024
@@ -183,9 +184,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, declar
                 own = [None if k is None else float(row[k]) for k, row in zip(said, cos)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(own, pa.float64())], names=[*keep, "lang_pred", "score", "declared_score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("declared_score", T.DoubleType())])
     said = F.col(declared).cast("string") if declared else F.lit(None).cast("string")
-    out = docs.select(*keep, said.alias("__said"), F.col("text").alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double, declared_score double")
+    out = docs.select(*keep, said.alias("__said"), F.col("text").alias("__text")).mapInArrow(run, schema)
     return out if declared else out.drop("declared_score")
 
 

@@ -89,22 +89,25 @@ def plan(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...
     return placed.select(*keep, "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def repeat_taken(docs: DataFrame, columns: list[str]) -> DataFrame:
+def repeat_taken(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, the document at a source's cut shortened to its taken words.
 
-    Needs all ``columns`` of ``docs``; text and n_chars of the shortened row change, nothing else does.
+    Columns stay as they are; text, and n_chars where there is one, change in the shortened row only.
     """
-    p = plan(docs, columns)
+    columns = docs.columns
+    packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"))
+    p = plan(packed, ["__row"])
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     part = F.col("taken") - F.floor(F.col("taken") / F.greatest("size", F.lit(1))) * F.col("size")
-    rows = p.withColumn("__part", part).filter(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-    cut = (F.col("__copy") == copies) & (F.col("__part") > 0)
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    head = F.array_join(F.slice(pieces, F.lit(1), F.col("__part").cast("int")), "")
-    out = rows.withColumn("text", F.when(cut, head).otherwise(F.col("text")))
+    rows = p.withColumn("__part", part).withColumn("__n", copies).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    rows = rows.select("__row", F.when((F.col("__copy") == F.col("__n")) & (F.col("__part") > 0), F.col("__part")).alias("__cut"))
+    pieces = F.regexp_extract_all("__row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    head = F.array_join(F.slice(pieces, F.lit(1), F.col("__cut").cast("int")), "")
+    text = F.when(F.col("__cut").isNull(), F.col("__row.text")).otherwise(head)
+    new = {"text": text}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+        new["n_chars"] = F.when(F.col("__cut").isNull(), F.col("__row.n_chars")).otherwise(F.length(text).cast("long"))
+    return rows.select(*[new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in columns])
 
 
 SQL = r"""

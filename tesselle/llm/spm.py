@@ -173,6 +173,9 @@ class Encoder:
         v = self.v
         #: piece or prefix of one -> (score, id), None for prefixes only
         self.trie = {p: v.score.get(p) for p in v.prefixes}
+        self.id_score = [
+            v.score[p][0] if p in v.score else (0.0 if 0x80 <= int(p[3:-1], 16) < 0xC0 else v.unknown) if kind == BYTE else 0.0 for p, kind in zip(v.pieces, v.kind)
+        ]
         self.line_ends_split = all("\n" not in p for p in v.score)
         self.line_end = self.solve("\n")
         #: stops that no piece joins to a letter before them: an exact place to cut
@@ -272,7 +275,7 @@ class Encoder:
         return self._exact(s[: cuts[0]], cuts[0], entry, 0) + middle + self._exact(s[cuts[-1] :], length - cuts[-1], 0, leave)
 
     def matrix(self, s: str, length: int) -> dict[int, dict[int, float]]:
-        """Transfer matrix of the chunk s[:length]; what lies between its first and last word start adds no states."""
+        """Transfer matrix of the chunk s[:length]; between its first and last word start there is one state only."""
         v = self.v
         entries = range(min(v.longest, length + 1))
         cuts = [i for i in range(1, length) if s[i] == MARK and s[i - 1] != MARK] if v.marks_split else []
@@ -280,7 +283,14 @@ class Encoder:
             return transfer(v, s, 0, length, entries)
         head = transfer(v, s[: cuts[0]], 0, cuts[0], [e for e in entries if e <= cuts[0]])
         tail = transfer(v, s[cuts[-1] :], 0, length - cuts[-1], [0])
-        return combine(head, tail)
+        middle = self.total(self.prepared(s[cuts[0] : cuts[-1]])) if len(cuts) > 1 else 0.0
+        return combine(combine(head, {0: {0: middle}}), tail)
+
+    def total(self, ids: bytes) -> float:
+        """Score of a segmentation; a character in bytes counts once, at its first byte."""
+        a = array("I")
+        a.frombytes(ids)
+        return sum(map(self.id_score.__getitem__, a))
 
     def decode(self, ids: bytes) -> str:
         """The text that ids spell: marks become blanks, byte pieces join to characters, the first blank goes."""

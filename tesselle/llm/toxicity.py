@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesselle.llm.langid import sample_rate, slices, unit_hash
 
@@ -255,5 +256,5 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
                 s = m.scores([words.ids(t) for t in texts])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64())], names=[*keep, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{fields}, score double")
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
