@@ -483,8 +483,8 @@ def circle_px(spark, d):
   SELECT image_id, y, x, CASE WHEN z IS NULL THEN v ELSE 255 - (z % 100)::INT END AS v FROM rast LEFT JOIN l USING (y, x)""")
 def overlay_px(spark, d):
     px = drawing.line_pixels(_lines(spark, d), ["id"])
-    ids = spark.range(views.IMAGES).select(F.col("id").cast("int").alias("image_id"))
-    layers = px.join(F.broadcast(ids)).select("image_id", "y", "x", F.col("id").alias("z"), (F.lit(255) - F.col("id") % 100).cast("int").alias("v"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(views.IMAGES - 1))).alias("image_id")
+    layers = px.select(every, "y", "x", F.col("id").alias("z"), (F.lit(255) - F.col("id") % 100).cast("int").alias("v"))
     return drawing.overlay(views.raster(spark, d), layers, ["v"])
 
 
