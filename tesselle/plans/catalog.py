@@ -297,17 +297,17 @@ def point_arithmetic(spark, d):
 
 @query("""WITH k(d, w) AS (VALUES """ + ", ".join(f"({i - 3}, {v!r}::DOUBLE)" for i, v in enumerate(raster.gaussian_kernel(1.0))) + """),
   s AS (SELECT vec_id, i - 1 AS i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) r(i))
-  SELECT a.vec_id, a.i::INT AS i, round(sum(b.v * w), 5) AS v FROM s a, k JOIN s b ON a.vec_id = b.vec_id AND b.i = least(greatest(a.i + d, 0), 63) GROUP BY ALL""")
+  SELECT a.vec_id, a.i::INT AS i, round(sum(b.v * w), 5) + 0.0::DOUBLE AS v FROM s a, k JOIN s b ON a.vec_id = b.vec_id AND b.i = least(greatest(a.i + d, 0), 63) GROUP BY ALL""")
 def blur_1d(spark, d):
     s = views.signals(spark, d).select("vec_id", signals.blur(F.col("v"), 1.0, 1).alias("v"))
-    return s.select("vec_id", F.posexplode("v").alias("i", "x")).select("vec_id", "i", _r(F.col("x"), 5).alias("v"))
+    return s.select("vec_id", F.posexplode("v").alias("i", "x")).select("vec_id", "i", (_r(F.col("x"), 5) + 0.0).alias("v"))
 
 
-@query("""SELECT vec_id, k::INT AS i, round((1 - (k * 63 / 9.0 - floor(k * 63 / 9.0)))::DOUBLE * embedding[floor(k * 63 / 9.0)::INT + 1]::DOUBLE
+@query("""SELECT vec_id, k::INT AS i, 0.0::DOUBLE + round((1 - (k * 63 / 9.0 - floor(k * 63 / 9.0)))::DOUBLE * embedding[floor(k * 63 / 9.0)::INT + 1]::DOUBLE
   + (k * 63 / 9.0 - floor(k * 63 / 9.0))::DOUBLE * embedding[least(floor(k * 63 / 9.0)::INT + 2, 64)]::DOUBLE, 5) AS v FROM embeddings, range(10) r(k)""")
 def resample_signal(spark, d):
     s = views.signals(spark, d).select("vec_id", signals.resample(F.col("v"), 10).alias("v"))
-    return s.select("vec_id", F.posexplode("v").alias("i", "x")).select("vec_id", "i", _r(F.col("x"), 5).alias("v"))
+    return s.select("vec_id", F.posexplode("v").alias("i", "x")).select("vec_id", "i", (_r(F.col("x"), 5) + 0.0).alias("v"))
 
 
 @query("""WITH don AS (SELECT event_type, epoch_us(ts) AS t, value FROM events WHERE event_id % 3 = 0), sam AS (SELECT event_type, epoch_us(ts) AS t FROM events WHERE event_id % 3 = 1),
@@ -448,11 +448,11 @@ def filter_map_vector(spark, d):
 
 # ---- drawing ----
 
-_LINES = "lines AS (SELECT s_suppkey AS id, (s_nationkey * 3)::INT AS x0, (s_suppkey % 50)::INT AS y0, (s_suppkey % 71)::INT AS x1, (abs(s_acctbal)::BIGINT % 60)::INT AS y1 FROM supplier)"
+_LINES = "lines AS (SELECT s_suppkey AS id, (s_nationkey * 3)::INT AS x0, (s_suppkey % 50)::INT AS y0, (s_suppkey % 71)::INT AS x1, (floor(abs(s_acctbal))::BIGINT % 60)::INT AS y1 FROM supplier)"
 
 
 def _lines(spark, d) -> DataFrame:
-    return views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") * 3).cast("int").alias("x0"), (F.col("s_suppkey") % 50).cast("int").alias("y0"), (F.col("s_suppkey") % 71).cast("int").alias("x1"), (F.round(F.abs("s_acctbal")).cast("long") % 60).cast("int").alias("y1"))
+    return views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") * 3).cast("int").alias("x0"), (F.col("s_suppkey") % 50).cast("int").alias("y0"), (F.col("s_suppkey") % 71).cast("int").alias("x1"), (F.floor(F.abs("s_acctbal")).cast("long") % 60).cast("int").alias("y1"))
 
 
 _WALK = f"""{_LINES}, w(id, step, x, y, x1, y1, dx, dy, sx, sy, err) AS (
