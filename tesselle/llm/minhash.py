@@ -3,7 +3,7 @@
 A document's signature has ``K`` coordinates, each the minimum of one hash over its shingles. A
 (coordinate, value) pair is a token; documents are posted under their tokens. Two documents whose
 sets are alike enough share at least ``T`` of ``K`` tokens (missing that at the link threshold has a
-chance of about 1 in 50,000), so
+chance of about 1 in 33,000), so
 
 * tokens of one document only are dropped, and with them documents left with fewer than ``T``;
 * the rest are ordered from rare to frequent, and a document is posted under its first m - T + 1
@@ -134,11 +134,16 @@ def _collisions(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
+def _grows(df: DataFrame) -> DataFrame:
+    """A side that grows with the corpus: joined by sorting at every size, never sent to all executors."""
+    return df.hint("merge")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked on full sets."""
     left = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    both = pairs.select("a", "b").join(left, "b").join(right, "a")
+    both = _grows(_grows(pairs.select("a", "b")).join(_grows(left), "b")).join(_grows(right), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb") - common).alias("u")).filter(f"100 * i >= {LINK} * u").select("a", "b")
 
@@ -189,7 +194,7 @@ def _prefix_lists(items: DataFrame) -> DataFrame:
     """(token, rep, n, central) postings of the prefixes; ``central`` grows with how often a document's tokens occur."""
     tokens = items.select("rep", "n", F.posexplode("sig").alias("k", "v")).select("rep", "n", (F.shiftleft(F.col("k").cast("long"), 32) + (F.col("v").cast("long") + (1 << 31))).alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    of_doc = tokens.join(often, "token").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x")).filter(F.size("x") >= T)
+    of_doc = tokens.join(_grows(often), "token").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x")).filter(F.size("x") >= T)
     central = F.aggregate("x", F.lit(0.0), lambda s, x: s + F.log(x.df.cast("double")))
     return of_doc.select("rep", "n", central.alias("central"), F.explode(F.slice("x", F.lit(1), F.size("x") - (T - 1))).alias("p")).select(F.col("p.token").alias("token"), "rep", "n", "central")
 
@@ -207,7 +212,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     lists = materialize(_prefix_lists(items.select("rep", "n", "sig")), "lists")
     wanted = lists.select(F.col("rep").alias("doc_id")).distinct()
     # Rows of one id with different texts: only the row that gave the item's set counts.
-    sets = materialize(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")).join(items.select("rep", "n"), "rep").filter(F.size("shingles") == F.col("n")).select("rep", "shingles").dropDuplicates(["rep"]), "sets")
+    sets = materialize(shingle_sets(docs.select("doc_id", "text").join(_grows(wanted), "doc_id", "left_semi")).join(items.select("rep", "n"), "rep").filter(F.size("shingles") == F.col("n")).select("rep", "shingles").dropDuplicates(["rep"]), "sets")
     of = items.select("rep", "sig")
 
     # First pass: each document against the most central member of its lists, the best of these by collisions.
@@ -233,7 +238,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     spread = rest.filter(F.col("m") > SHORT_LIST).withColumn("blocks", blocks).withColumn("own", own)
     spread = spread.select("token", "rep", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("rep", "comp", "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    blocked = spread.join(sets, "rep").groupBy("token", "i", "j").applyInArrow(_block_links, "a long, b long")
+    blocked = spread.join(_grows(sets), "rep").groupBy("token", "i", "j").applyInArrow(_block_links, "a long, b long")
     everything = connected_components(links.union(pairs).union(blocked))
 
     groups = items.select("h1", "h2", "rep").join(everything.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
