@@ -29,7 +29,7 @@ from tesselle.llm.storage import materialize
 MIN_COSINE = 0.93
 TABLES, PROBES, SCALE = 8, 4, 5.0
 #: Classes of a cell, and members of a class, that are compared in one task at most.
-CELL_BLOCK, MEMBER_BLOCK = 2048, 1024
+CELL_BLOCK, MEMBER_BLOCK = 512, 1024
 
 
 @lru_cache(maxsize=1)
@@ -108,6 +108,74 @@ def _half_angle(cosine: float) -> float:
     return math.cos(math.acos(cosine) / 2) + 1e-12
 
 
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches cut anew so that no cell (the first six columns) is split; holds one batch and one cell."""
+    rest: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if rest is not None:
+            t = pa.concat_tables([rest, t]).combine_chunks()
+        start = _starts(t)
+        if len(start) > 1:
+            yield t.slice(0, int(start[-1]))
+        rest = t.slice(int(start[-1])) if len(start) else None
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _starts(t: pa.Table) -> np.ndarray:
+    """First rows of the cells of a sorted table."""
+    if not t.num_rows:
+        return np.zeros(0, np.int64)
+    change = np.zeros(t.num_rows, bool)
+    change[0] = True
+    for c in ("label", "tab", "cell", "i", "j", "dim"):
+        v = t.column(c).combine_chunks()
+        v = (v.dictionary_encode().indices if c == "label" else v).to_numpy(zero_copy_only=False)
+        change[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(change)
+
+
+def _cell_pairs(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+    """Pairs of classes of one cell whose centres are near enough and of which one is at home there."""
+    start = _starts(t)
+    size = np.diff(np.append(start, t.num_rows))
+    cls, home, wide, dim = (t.column(c).to_numpy() for c in ("cls", "home", "wide", "dim"))
+    wide = wide.astype(np.int64)
+    raw = t.column("unit").to_pylist()
+    xs, ys = [], []
+    for m in np.unique(size):
+        if m < 2:
+            continue
+        low, high = np.triu_indices(int(m), 1)
+        own = start[size == m]
+        step = max(1, 200_000 // len(low))
+        for k in range(0, len(own), step):
+            x, y = (own[k : k + step, None] + low).ravel(), (own[k : k + step, None] + high).ravel()
+            some = home[x] | home[y]
+            xs.append(x[some])
+            ys.append(y[some])
+    if not xs:
+        return pa.RecordBatch.from_pydict({"a": [], "b": [], "single": []}, schema=PAIRS)
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    kept = np.zeros(len(x), bool)
+    for d in np.unique(dim):
+        rows = np.flatnonzero(dim == d)
+        unit = np.frombuffer(b"".join(raw[r] for r in rows), np.float64).reshape(len(rows), -1)
+        place = np.zeros(t.num_rows, np.int64)
+        place[rows] = np.arange(len(rows))
+        own = np.flatnonzero(dim[x] == d)
+        for k in range(0, len(own), 50_000):
+            part = own[k : k + 50_000]
+            cos = np.einsum("ij,ij->i", unit[place[x[part]]], unit[place[y[part]]])
+            kept[part] = cos >= bounds[wide[x[part]] + wide[y[part]]]
+    x, y = x[kept], y[kept]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[x], cls[y])), pa.array(np.maximum(cls[x], cls[y])), pa.array((wide[x] + wide[y]) == 0)], schema=PAIRS)
+
+
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("single", pa.bool_())])
+
+
 def link_components(vectors: DataFrame, cosine: float = MIN_COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label).
 
@@ -179,22 +247,13 @@ def link_components(vectors: DataFrame, cosine: float = MIN_COSINE, tables: int
     angle = math.acos(cosine)
     bounds = [cosine] + [math.cos(min(math.pi, angle * (1 + k / 2))) - 1e-12 for k in (1, 2)]
 
-    def meet(data: pa.Table) -> pa.Table:
-        cls, here, wide = (np.array(data.column(c).to_pylist()) for c in ("cls", "home", "wide"))
-        raw = data.column("unit").to_pylist()
-        a, b, sure = [], [], []
-        for size in {len(x) for x in raw}:
-            own = np.array([k for k, x in enumerate(raw) if len(x) == size])
-            unit = np.frombuffer(b"".join(raw[k] for k in own), np.float64).reshape(len(own), -1)
-            need = np.array(bounds)[wide[own].astype(int)[:, None] + wide[own].astype(int)[None, :]]
-            ok = np.triu((unit @ unit.T >= need) & (here[own][:, None] | here[own][None, :]), 1)
-            x, y = (own[k] for k in np.nonzero(ok))
-            a.append(np.minimum(cls[x], cls[y]))
-            b.append(np.maximum(cls[x], cls[y]))
-            sure.append(~(wide[x] | wide[y]))
-        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64()), "single": pa.array(np.concatenate(sure), pa.bool_())})
-
-    pairs = met.join(centres, "cls").groupBy("label", "tab", "cell", "i", "j").applyInArrow(meet, "a long, b long, single boolean").distinct()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells_ in _whole_cells(batches):
+            yield _cell_pairs(cells_, np.array(bounds))
+
+    order = ["label", "tab", "cell", "i", "j"]
+    near = met.join(centres, "cls").select(*order, F.octet_length("unit").alias("dim"), "cls", "home", "wide", "unit")
+    pairs = near.repartition(*order).sortWithinPartitions(*order, "dim").mapInArrow(meet, "a long, b long, single boolean").distinct()
     pairs = materialize(pairs, "pairs")
 
     # Pairs of single vectors are links already; others are settled member by member.
