@@ -11,27 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselle.llm.storage import discard, materialize
-
-
-def _large_star(e: DataFrame) -> DataFrame:
-    """Every node's larger neighbours move to its smallest neighbour."""
-    both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    moved = both.filter(F.col("b") > F.col("a")).join(least, "a")
-    return moved.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-
-
-def _small_star(e: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours move to the smallest of them; edges point from larger to smaller."""
-    down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
-
-
-def _mark(e: DataFrame) -> tuple[int, int]:
-    r = e.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("s")).first()
-    return r.n, r.s or 0
+from tesselle.operators.stars import large_star, mark, small_star
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -40,11 +20,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``edges`` has two long columns ``a`` and ``b``; rows with a null or with equal ends count for nothing.
     """
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
-        nxt = materialize(_small_star(_large_star(now)), "edges")
+    last = mark(now)
+    while last[0]:
+        nxt = materialize(small_star(large_star(now)), "edges")
         discard(now)
-        now, was, mark = nxt, mark, _mark(nxt)
-        if mark == was:
+        now, was, last = nxt, last, mark(nxt)
+        if last == was:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
