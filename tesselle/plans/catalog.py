@@ -205,14 +205,22 @@ def objects_bbox(spark, d):
     return objects.objects(views.mask(spark, d))
 
 
+def _customer_supplier(spark, d, lines: DataFrame) -> DataFrame:
+    o = views.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), (-(F.col("l_suppkey") + 1)).alias("b"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS u, -(l_suppkey + 1) AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND l_linenumber = 7),
   b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), n AS (SELECT DISTINCT u FROM b),
   r(node, comp) AS (SELECT u, u FROM n UNION SELECT b.v, r.comp FROM r JOIN b ON b.u = r.node WHERE r.comp < b.v)
   SELECT node, min(comp) AS comp FROM r GROUP BY node""")
 def graph_components(spark, d):
-    o = views.table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    e = views.table(spark, d, "lineitem").filter("l_quantity >= 50 and l_linenumber = 7").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return objects.graph_components(e.select(F.col("o_custkey").alias("a"), (-(F.col("l_suppkey") + 1)).alias("b")))
+    return objects.graph_components(_customer_supplier(spark, d, views.table(spark, d, "lineitem").filter("l_quantity >= 50 and l_linenumber = 7")))
+
+
+@query()
+def graph_components_all(spark, d):
+    return objects.graph_components(_customer_supplier(spark, d, views.table(spark, d, "lineitem")))
 
 
 # ---- statistics ----
