@@ -328,6 +328,16 @@ def asof_sample(spark, d):
     return got.select("event_type", "t", _r(F.col("value"), 4).alias("value"))
 
 
+@query("""WITH don AS (SELECT event_type, epoch_us(ts) AS t, value FROM events WHERE event_id % 2 = 0), sam AS (SELECT event_type, epoch_us(ts) AS t FROM events WHERE event_id % 2 <> 0),
+  lo AS (SELECT sam.event_type, sam.t, don.t AS t0, don.value AS v0 FROM sam ASOF LEFT JOIN don ON sam.event_type = don.event_type AND sam.t >= don.t),
+  hi AS (SELECT lo.*, don.t AS t1, don.value AS v1 FROM lo ASOF LEFT JOIN don ON lo.event_type = don.event_type AND lo.t <= don.t)
+  SELECT event_type, t, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t1 = t0 THEN v0 ELSE (1 - (t - t0) / (t1 - t0)) * v0 + (t - t0) / (t1 - t0) * v1 END, 4) AS value FROM hi""")
+def asof_sample_all(spark, d):
+    e = views.table(spark, d, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value", "event_id")
+    got = signals.bracket(e.filter("event_id % 2 <> 0"), e.filter("event_id % 2 = 0"), ["event_type"], "t", "value")
+    return got.select("event_type", "t", _r(F.col("value"), 4).alias("value"))
+
+
 @query("""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 100) AS v FROM embeddings),
   m AS (SELECT vec_id, v, list_avg(v) AS mean FROM s)
   SELECT vec_id, list_max(v) - list_min(v) <= 45 OR list_sort(list_transform(v, lambda x: abs(x - mean)))[63] <= 30 AS is_mono FROM m""")
@@ -454,6 +464,13 @@ def filter_map_vector(spark, d):
     return views.table(spark, d, "events").filter("user_id < 20").select("event_id", signals.filter_values(v, lambda x: x % 2 == 0).alias("evens"), signals.map_values(F.array(e % 5, e % 7), lambda x: F.concat(F.lit("n"), x.cast("string"))).alias("names"))
 
 
+@query("SELECT event_id, list_filter([event_id % 5, event_id % 7, event_id % 11], lambda x: x % 2 = 0) AS evens, list_transform([event_id % 5, event_id % 7], lambda x: 'n' || x) AS names FROM events")
+def filter_map_vector_all(spark, d):
+    e = F.col("event_id")
+    v = F.array(e % 5, e % 7, e % 11)
+    return views.table(spark, d, "events").select("event_id", signals.filter_values(v, lambda x: x % 2 == 0).alias("evens"), signals.map_values(F.array(e % 5, e % 7), lambda x: F.concat(F.lit("n"), x.cast("string"))).alias("names"))
+
+
 # ---- drawing ----
 
 _LINES = "lines AS (SELECT s_suppkey AS id, (s_nationkey * 3)::INT AS x0, (s_suppkey % 50)::INT AS y0, (s_suppkey % 71)::INT AS x1, (floor(abs(s_acctbal))::BIGINT % 60)::INT AS y1 FROM supplier)"
