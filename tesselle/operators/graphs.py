@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -40,12 +41,162 @@ def cycles_from(edges: DataFrame, most_length: int | None = None) -> DataFrame:
     return found
 
 
+def _cover(w: np.ndarray) -> tuple[float, np.ndarray] | None:
+    """Heaviest assignment of a successor to every vertex (weight, successors); -inf forbids. None if there is none."""
+    n = len(w)
+    top = np.max(w, initial=0.0, where=np.isfinite(w))
+    cost = np.where(np.isfinite(w), top - w, np.inf)
+    u, v, of, way = np.zeros(n + 1), np.zeros(n + 1), np.full(n + 1, -1), np.zeros(n + 1, int)
+    for i in range(n):
+        of[n], j = i, n
+        least, done = np.full(n + 1, np.inf), np.zeros(n + 1, bool)
+        while of[j] >= 0:
+            done[j] = True
+            k = of[j]
+            now = cost[k] - u[k] - v[:n]
+            better = ~done[:n] & (now < least[:n])
+            least[:n][better] = now[better]
+            way[:n][better] = j
+            free = np.where(done, np.inf, least)
+            free[n] = np.inf
+            nxt = int(free.argmin())
+            d = free[nxt]
+            if not np.isfinite(d):
+                return None
+            u[of[done]] += d
+            v[done] -= d
+            least[~done] -= d
+            j = nxt
+        while j != n:
+            of[j], j = of[way[j]], way[j]
+    out = np.empty(n, int)
+    out[of[:n]] = np.arange(n)
+    return float(w[np.arange(n), out].sum()), out
+
+
+class CycleSearch:
+    """Exact search over a small graph without enumeration: branch and bound under vertex covers by disjoint cycles.
+
+    ``w`` has -inf where there is no edge; its diagonal holds loops.
+    """
+
+    def __init__(self, w: np.ndarray):
+        self.n, self.w = len(w), w
+        self.slack = 1e-9 * max(1.0, float(np.abs(w[np.isfinite(w)]).sum())) if np.isfinite(w).any() else 0.0
+
+    def weight(self, path: list[int]) -> float:
+        return float(sum(self.w[a, b] for a, b in zip(path, [*path[1:], path[0]])))
+
+    def search(self, enough: float | None = None, length: int = 0, prefix: tuple[int, ...] = ()) -> list[int] | None:
+        """Heaviest cycle of two or more vertices; with ``enough`` any cycle of that weight and ``length`` whose path starts with ``prefix``."""
+        w = self.w.copy()
+        np.fill_diagonal(w, -np.inf if length == self.n else 0.0)  # a vertex that is its own successor is not used
+        if prefix:
+            for k in range(prefix[0]):
+                w[k, :], w[:, k], w[k, k] = -np.inf, -np.inf, 0.0 if length < self.n else -np.inf
+            w[prefix[0], prefix[0]] = -np.inf
+            for a, b in zip(prefix, prefix[1:]):
+                self._force(w, a, b)
+        best, most = None, -np.inf if enough is None else enough
+        heap, made = [], 0
+
+        def push(x: np.ndarray, depth: int) -> None:
+            nonlocal made
+            got = _cover(x)
+            if got:
+                made += 1
+                heapq.heappush(heap, (-got[0], -depth, made, x, got[1]))
+
+        push(w, 0)
+        while heap:
+            bound, depth, _, x, to = heapq.heappop(heap)
+            if -bound < most - self.slack or (enough is None and best is not None and -bound <= most + self.slack):
+                break
+            found, seen = [], set()
+            for k in range(self.n):
+                if k not in seen and to[k] != k:
+                    path = [k]
+                    while (b := int(to[path[-1]])) != k:
+                        path.append(b)
+                    seen.update(path)
+                    found.append(path)
+            for path in found:
+                own = self.weight(path)
+                if enough is None:
+                    if own > most:
+                        best, most = path, own
+                elif own >= enough and len(path) == length and tuple(path[: len(prefix)]) == prefix:
+                    return path
+            if not found:
+                k = next((k for k in range(self.n) if np.isfinite(x[k]).sum() > 1), None)
+                if k is not None:
+                    used, unused = x.copy(), x.copy()
+                    used[k, k] = -np.inf
+                    self._force(unused, k, k)
+                    push(used, 1 - depth)
+                    push(unused, 1 - depth)
+                continue
+            # What is not the cycle itself lacks one of its edges.
+            free = min(([(a, int(to[a])) for a in path if np.isfinite(x[a]).sum() > 1] for path in found), key=len)
+            for a, b in free:
+                without = x.copy()
+                without[a, b] = -np.inf
+                push(without, 1 - depth)
+                x = x.copy()
+                self._force(x, a, b)
+        return best
+
+    @staticmethod
+    def _force(x: np.ndarray, a: int, b: int) -> None:
+        keep = x[a, b]
+        x[a, :], x[:, b], x[a, b] = -np.inf, -np.inf, keep
+
+    def best(self) -> tuple[list[int], float] | None:
+        """(path, weight): the heaviest cycle, loops included; of those within 1e-6 the longest, then the first in order."""
+        loops = [(float(self.w[k, k]), k) for k in range(self.n) if np.isfinite(self.w[k, k])]
+        top = self.search()
+        most = max([x for x, _ in loops] + ([self.weight(top)] if top else []), default=None)
+        if most is None:
+            return None
+        enough = most - EPS
+        for length in range(self.n, 1, -1):
+            for start in range(self.n - length + 1):
+                path = self.search(enough, length, (start,))
+                if path is None:
+                    continue
+                for k in range(1, length):
+                    for v in range(path[k]):
+                        if v > start and v not in path[:k] and np.isfinite(self.w[path[k - 1], v]):
+                            other = self.search(enough, length, (*path[:k], v))
+                            if other is not None:
+                                path = other
+                                break
+                return path, self.weight(path)
+        k = min(k for x, k in loops if x >= enough)
+        return [k], float(self.w[k, k])
+
+
 def heaviest_cycles(edges: DataFrame, most_length: int | None = None) -> DataFrame:
     """(cycle_no, path, weight): vertex-disjoint cycles, each the heaviest left; heavier by more than 1e-6, then longer, then lexicographic.
 
-    All cycles are enumerated once; picking needs their table only. Meant for small or pruned graphs.
+    The edges of the graph, which is small, are searched on the driver without enumerating cycles;
+    only with ``most_length`` are all cycles up to it enumerated.
     """
     spark = edges.sparkSession
+    picked: list[tuple[int, list[int], float]] = []
+    if most_length is None:
+        rows = edges.groupBy("src", "dst").agg(F.max("w").alias("w")).collect()
+        left = sorted({v for r in rows for v in (r.src, r.dst)})
+        at = {v: k for k, v in enumerate(left)}
+        w = np.full((len(left), len(left)), -np.inf)
+        for r in rows:
+            w[at[r.src], at[r.dst]] = r.w
+        while left and (got := CycleSearch(w).best()):
+            path, weight = got
+            picked.append((len(picked), [left[k] for k in path], weight))
+            stay = [k for k in range(len(left)) if k not in set(path)]
+            left, w = [left[k] for k in stay], w[np.ix_(stay, stay)]
+        return spark.createDataFrame(picked, "cycle_no int, path array<long>, weight double")
     left = cycles_from(edges, most_length).persist()
     picked: list[tuple[int, list[int], float]] = []
     while True:

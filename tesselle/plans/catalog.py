@@ -447,7 +447,7 @@ def all_cycles(spark, d):
 
 @query()
 def heaviest_cycles(spark, d):
-    return graphs.heaviest_cycles(_pruned(spark, d))
+    return graphs.heaviest_cycles(views.trade(spark, d))
 
 
 @query("""WITH l AS (SELECT event_type, user_id AS value, arg_max(floor(value), event_id) AS priority FROM events GROUP BY ALL)

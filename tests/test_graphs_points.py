@@ -78,3 +78,28 @@ def test_knn_and_radius_equal_brute_force(spark):
     assert neighbours.knn_join(points.limit(0), queries, 4).count() == 0
     with pytest.raises(ValueError):
         neighbours.knn_join(points, queries, -1)
+
+
+def plain_best(w):
+    n, found = len(w), []
+
+    def grow(path, weight):
+        for v in range(path[0], n):
+            if np.isfinite(w[path[-1], v]):
+                if v == path[0]:
+                    found.append((weight + w[path[-1], v], path))
+                elif v not in path:
+                    grow([*path, v], weight + w[path[-1], v])
+
+    for s in range(n):
+        grow([s], 0.0)
+    top = max((x for x, _ in found), default=None)
+    return min(((p, x) for x, p in found if x >= top - 1e-6), key=lambda c: (-len(c[0]), c[0]), default=None)
+
+
+def test_cycle_search_equals_enumeration():
+    r = np.random.default_rng(1)
+    for _ in range(150):
+        n = int(r.integers(1, 7))
+        w = np.where(r.random((n, n)) < r.choice([0.3, 0.6, 1]), r.integers(0, r.choice([1, 2, 5, 50]), (n, n)).astype(float), -np.inf)
+        assert graphs.CycleSearch(w).best() == plain_best(w)

@@ -7,7 +7,7 @@ import pytest
 from tesselle.operators import objects
 from tesselle.plans import catalog, views
 
-DATA = "/root/testdata/sf0.001"
+DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 
@@ -45,3 +45,16 @@ def test_every_event_is_donor_or_sample(spark):
     got = sorted((r.event_type, r.t, r.value) for r in catalog.QUERIES["asof_sample_all"](spark, DATA).collect())
     assert len(got) == len(want) == len(rows) - sum(map(len, donors.values()))
     assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4 for a, b in zip(got, sorted(want)))
+
+
+def test_heaviest_cycles_of_the_whole_network(spark):
+    w = {(r.src, r.dst): r.w for r in views.trade(spark, LARGER).collect()}
+    got = catalog.QUERIES["heaviest_cycles"](spark, LARGER).orderBy("cycle_no").collect()
+    for r in got:
+        assert r.weight == sum(w[e] for e in zip(r.path, [*r.path[1:], r.path[0]]))
+    # A walk that takes the heaviest edge to a new nation closes to a cycle of the network.
+    for start in {a for a, _ in w}:
+        path = [start]
+        while on := [(x, -b) for (a, b), x in w.items() if a == path[-1] and b not in path]:
+            path.append(-max(on)[1])
+        assert got[0].weight >= sum(w[e] for e in zip(path, path[1:])) + w.get((path[-1], start), -sum(w.values()))
