@@ -126,7 +126,8 @@ class Index:
         self.posts = [(t, p) for _, t, p in posts]
 
     def band(self, t: int) -> int:
-        return max(3, len(self.words[t]) // 10)
+        """Farthest apart that diagonals of one region lie; less than the template, whose next copy begins where it ends."""
+        return min(max(3, len(self.words[t]) // 10), max(0, len(self.words[t]) - 1))
 
     def regions(self, h: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, lowest and highest diagonal) of the candidates in a document's word hashes."""

@@ -49,6 +49,12 @@ def test_repeats_and_odd_rows(spark, documents, odd):
     assert lic.scan(odd).count() == 0 and lic.scan(odd.limit(0)).count() == 0
 
 
+def test_repeats_of_a_short_notice(spark, documents):
+    text = "All rights reserved.\n" * 4
+    got = sorted((r.start_char, r.end_char) for r in lic.scan(documents([(1, text), (2, "other words here")])).collect())
+    assert [text[a:b] for a, b in got] == ["All rights reserved"] * 4 and len(set(got)) == 4
+
+
 def test_winnowing_keeps_one_of_every_window():
     g = np.random.default_rng(1).integers(0, 2**63, 200, dtype=np.uint64)
     picks = lic.winnow(g, 4)
