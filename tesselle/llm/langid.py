@@ -7,6 +7,8 @@ predicted language is that of the prototype with the largest cosine.
 
 Letters are lower-cased; every run of other characters is one blank, also at both ends. Texts that
 are null or have no letter are ``und`` with score 0. With no usable training row, all texts are ``und``.
+Of equally near languages the first by name is predicted. Rows count one by one, so repeated rows and
+null ids are predicted like others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,74 +19,131 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UND = "und"
 DIM = 1024
-#: Bound of the training sample: about so many documents of each language, chosen by a hash of doc_id.
-SAMPLE_PER_LANG = 1500
-#: Alphabets of a batch beyond this size number their trigrams by sorting instead of by place.
+#: Bounds of the training sample: about so many documents of each language, chosen by a hash of doc_id,
+#: and so many languages, those with most documents.
+SAMPLE_PER_LANG, MOST_LANGS = 1500, 256
+#: Characters and texts whose trigrams are counted at once, and distinct trigrams whose vectors are made at once.
+RUN, ROWS, GRAMS = 400_000, 512, 2048
+#: Alphabets of a run beyond this size number their trigrams by sorting instead of by place.
 DENSE_ALPHABET = 96
 
 
 @lru_cache(maxsize=1)
 def _is_letter() -> np.ndarray:
-    table = np.zeros(0x110000, bool)
-    table[:0x30000] = [chr(i).isalpha() for i in range(0x30000)]
-    return table
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=4096)
 def letter_vector(code: int, dim: int) -> np.ndarray:
-    return (np.random.Generator(np.random.PCG64([7919, code])).integers(0, 2, dim) * 2 - 1).astype(np.float32)
-
-
-def trigrams(texts: list[str | None], dim: int = DIM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, trigram, count) triples as a counts matrix, the trigram vectors, and letters per document."""
-    docs = [np.frombuffer(f" {(t or '').lower()} ".encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
-    flat = np.concatenate(docs)
-    doc = np.repeat(np.arange(len(docs), dtype=np.int64), [len(d) for d in docs])
+    return (np.random.Generator(np.random.PCG64([7919, code])).integers(0, 2, dim) * 2 - 1).astype(np.int8)
+
+
+def _last_two(s: str) -> str:
+    """The last two characters of a text once its runs of other characters than letters are one blank each."""
+    out, k = "", len(s)
+    while k and len(out) < 2:
+        k -= 1
+        if s[k].isalpha():
+            out = s[k] + out
+        else:
+            out = " " + out
+            while k and not s[k - 1].isalpha():
+                k -= 1
+    return out
+
+
+def _runs(texts: list[str | None], most: int) -> Iterator[tuple[list[int], list[str]]]:
+    """(documents, lower-cased texts) of about ``most`` characters; a longer text is cut, and each further run begins
+    with the two characters that its first trigram needs."""
+    own, run, size = [], [], 0
+    for k, t in enumerate(texts):
+        low = f" {(t or '').lower()} "
+        at, before = 0, ""
+        while at < len(low):
+            part = before + low[at : at + most]
+            at += most
+            before = _last_two(part) if at < len(low) else ""
+            own.append(k)
+            run.append(part)
+            size += len(part)
+            if size >= most or len(own) == ROWS:
+                yield own, run
+                own, run, size = [], [], 0
+    if own:
+        yield own, run
+
+
+def _grams(run: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, trigram) by place, the letters that trigram numbers are made of, and letters per row."""
+    rows = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") for x in run]
+    flat = np.concatenate(rows)
+    row = np.repeat(np.arange(len(rows), dtype=np.int64), [len(d) for d in rows])
     letter = _is_letter()[flat]
-    n_letters = np.bincount(doc[letter], minlength=len(docs))
-    code = np.where(letter, flat, 32)
+    n_letters = np.bincount(row[letter], minlength=len(rows))
     keep = letter.copy()
     keep[0] = True
-    keep[1:] |= letter[:-1] | (doc[1:] != doc[:-1])
-    code, doc = code[keep], doc[keep]
-    seen = np.unique(code) if len(code) else np.array([32], np.uint32)
+    keep[1:] |= letter[:-1] | (row[1:] != row[:-1])
+    code, row = np.where(letter, flat, 32)[keep], row[keep]
+    seen = np.unique(code)
     lut = np.zeros(int(seen[-1]) + 1, np.int64)
     lut[seen] = np.arange(len(seen))
     a, n = lut[code], len(seen)
-    inside = (doc[2:] == doc[:-2]) if len(doc) > 2 else np.zeros(0, bool)
-    key = ((a[:-2] * n + a[1:-1]) * n + a[2:])[inside] if len(doc) > 2 else np.zeros(0, np.int64)
-    of = doc[2:][inside] if len(doc) > 2 else np.zeros(0, np.int64)
-    if n <= DENSE_ALPHABET:
-        grams = np.flatnonzero(np.bincount(key, minlength=1))
-        place = np.zeros(n**3, np.int64)
-        place[grams] = np.arange(len(grams))
-        at = place[key]
-    else:
-        grams, at = np.unique(key, return_inverse=True)
-    if not len(key):
-        grams = grams[:0]
-    counts = np.bincount(of * max(1, len(grams)) + at, minlength=len(docs) * max(1, len(grams))).reshape(len(docs), -1)[:, : len(grams)]
-    base = np.stack([letter_vector(int(c), dim) for c in seen])
-    vectors = np.roll(base, 2, axis=1)[grams // (n * n)] * np.roll(base, 1, axis=1)[grams // n % n] * base[grams % n]
-    return counts.astype(np.float32), vectors, n_letters
+    inside = row[2:] == row[:-2]
+    return row[2:][inside], ((a[:-2] * n + a[1:-1]) * n + a[2:])[inside], seen, n_letters
+
+
+def sums(texts: list[str | None], dim: int = DIM, run: int = RUN, step: int = GRAMS) -> tuple[np.ndarray, np.ndarray]:
+    """Bundled trigram vectors and letters of each text; memory is bounded by ``run`` and ``step``, whatever the alphabet."""
+    total, letters = np.zeros((len(texts), dim), np.float32), np.zeros(len(texts), np.int64)
+    for own, part in _runs(texts, run):
+        own = np.array(own)
+        row, key, seen, n_letters = _grams(part)
+        np.add.at(letters, own, n_letters)
+        if not len(key):
+            continue
+        n = len(seen)
+        if n <= DENSE_ALPHABET:
+            grams = np.flatnonzero(np.bincount(key, minlength=1))
+            place = np.zeros(n**3, np.int64)
+            place[grams] = np.arange(len(grams))
+            at = place[key]
+        else:
+            grams, at = np.unique(key, return_inverse=True)
+        if len(grams) > step:
+            order = np.argsort(at, kind="stable")
+            row, at = row[order], at[order]
+        edges = np.searchsorted(at, np.arange(0, len(grams) + step, step)) if len(grams) > step else [0, len(at)]
+        bundled = np.zeros((len(part), dim), np.float32)
+        for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
+            g = grams[k * step : (k + 1) * step]
+            parts = [letter_vectors(seen[x], dim) for x in (g // (n * n), g // n % n, g % n)]
+            vectors = (np.roll(parts[0], 2, axis=1) * np.roll(parts[1], 1, axis=1) * parts[2]).astype(np.float32)
+            counts = np.bincount(row[lo:hi] * len(g) + (at[lo:hi] - k * step), minlength=len(part) * len(g)).reshape(len(part), len(g))
+            bundled += counts.astype(np.float32) @ vectors
+        np.add.at(total, own, bundled)
+    return total, letters
+
+
+def letter_vectors(codes: np.ndarray, dim: int) -> np.ndarray:
+    distinct, at = np.unique(codes, return_inverse=True)
+    return np.stack([letter_vector(int(c), dim) for c in distinct])[at]
 
 
 def profiles(texts: list[str | None], dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     """Unit document vectors (zero without letters) and letters per document."""
-    counts, vectors, letters = trigrams(texts, dim)
-    v = counts @ vectors if vectors.shape[0] else np.zeros((len(texts), dim), np.float32)
+    v, letters = sums(texts, dim)
     norm = np.linalg.norm(v, axis=1, keepdims=True)
     return np.divide(v, norm, out=np.zeros_like(v), where=(norm > 0) & (letters[:, None] > 0)), letters
 
 
-def slices(part: pa.RecordBatch, column: int, most_chars: int = 400_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def slices(part: pa.RecordBatch, column: int, most_chars: int = RUN) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Cut a batch into runs of rows whose texts hold about ``most_chars`` characters together."""
     start = size = 0
     lengths = pa.compute.fill_null(pa.compute.utf8_length(part.column(column)), 0).to_pylist()
@@ -101,12 +160,22 @@ def fold(doc_id: Column, of: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of
 
 
-def sample_rate(keys: DataFrame, column: str, most: int) -> Column:
+def sample_rate(keys: DataFrame, column: str, most: int, most_keys: int = MOST_LANGS) -> Column:
     """Share of each key's rows to take so that about ``most`` remain, as a column over that key.
 
-    Counts have one row for each key (a language code, a class), so they fit the driver.
+    Only the ``most_keys`` keys (language codes, classes) with most rows are taken from, of equals the
+    first, so that what reaches the driver is bounded.
     """
-    rates = {r[0]: min(1.0, most / r[1]) for r in keys.groupBy(column).count().toLocalIterator() if r[0] is not None}
+    rates = key_rates(keys, column, most, most_keys)
+    return rate_column(rates, column)
+
+
+def key_rates(keys: DataFrame, column: str, most: int, most_keys: int = MOST_LANGS) -> dict:
+    counts = keys.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(most_keys)
+    return {r[0]: min(1.0, most / r[1]) for r in counts.collect()}
+
+
+def rate_column(rates: dict, column: str) -> Column:
     if not rates:
         return F.lit(0.0)
     return F.coalesce(F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])[F.col(column)], F.lit(0.0))
@@ -140,8 +209,8 @@ class Model:
 def fit(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_PER_LANG, dim: int = DIM, tasks: int = 8) -> Model:
     """Prototypes from a bounded sample of the rows where ``usable`` holds and lang is not null.
 
-    At most about ``per_lang`` documents of each language are taken, whole; each of ``tasks`` tasks
-    returns one vector for each language.
+    At most about ``per_lang`` documents of each of the MOST_LANGS most frequent languages are taken,
+    whole; each of ``tasks`` tasks returns one vector for each language.
     """
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     taken = rows.filter(unit_hash(F.col("doc_id"), 8) < sample_rate(rows, "lang", per_lang)).select("lang", "text").repartition(tasks)

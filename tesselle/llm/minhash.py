@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from tesselle.llm.components import connected_components
 from tesselle.llm.langid import slices
+from tesselle.llm.memory import Memory
 from tesselle.llm.storage import discard, materialize
+from tesselle.llm.words import pieces
 
 WIDTH = 5
 K, T = 48, 30
@@ -49,14 +51,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
+class WordHashes(Memory):
     """Word (bytes) to a 64-bit hash; bounded memory."""
 
-    def __missing__(self, w: bytes) -> int:
+    def make(self, w: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        got = self[w] = xxh64_intdigest(w)
-        return got
+        return xxh64_intdigest(w)
 
     def shingles(self, text: str | None, width: int = WIDTH) -> np.ndarray:
         """Sorted distinct 64-bit hashes of a whole text's shingles.
@@ -66,12 +67,10 @@ class WordHashes(dict):
         """
         if not text:
             return np.zeros(0, np.uint64)
-        if len(self) > 1_000_000:
-            self.clear()
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        runs = (t.encode("utf-8", "surrogatepass").lower().split() for t in pieces(text))
+        h = np.concatenate([np.fromiter(map(self.__getitem__, words), np.uint64, len(words)) for words in runs])
+        if not len(h):
+            return h
         n = min(width, len(h))
         s = np.full(len(h) - n + 1, n, np.uint64)
         for j in range(n):

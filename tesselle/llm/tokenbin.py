@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesselle.llm.memory import Memory
 from tesselle.llm.storage import filesystem, new_path
 
 # Fixed values of the seekable format.
@@ -46,22 +47,23 @@ class _Unsafe(Exception):
     pass
 
 
-class UnitEncoder(dict):
+class UnitEncoder(Memory):
     """Encodes texts by a tokenizers file; blank-separated units are remembered as packed ids.
 
     The pre-tokenizer never joins what stands on both sides of a single blank between two other
     characters, so " unit" encodes alike wherever it stands. Texts with other white space around
-    a blank go through the library as a whole. The memory is emptied when it holds ``most`` units.
+    a blank, and those that hold a special token's string, go through the library as a whole, which
+    gives such a string the token's id.
     """
 
-    def __init__(self, path: str, most: int = 900_000):
-        super().__init__()
+    def __init__(self, path: str, most: int = 150_000):
+        super().__init__(most)
         import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.model, self.most = self.tok.model, most
+        self.model = self.tok.model
+        self.special = regex.compile("|".join(regex.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or r"(?!)").search
         table = _byte_table()
         self.table = [table[b] for b in range(256)]
         self.pieces = regex.compile(PRETOKEN).findall
@@ -75,48 +77,44 @@ class UnitEncoder(dict):
             ids = [t.id for t in self.model.tokenize("".join(map(self.table.__getitem__, p.encode())))]
             got = struct.pack(f"<{len(ids)}I", *ids)
             if len(p) < 4:
+                if len(self.words) >= self.most:
+                    self.words.clear()
                 self.words[p] = got
         return got
 
     def _pack(self, unit: str) -> bytes:
         return b"".join(map(self._piece, self.pieces(unit)))
 
-    def __missing__(self, unit: str) -> bytes:
+    def make(self, unit: str) -> bytes:
         if unit.isalpha():
             if unit.isascii():
                 ids = [t.id for t in self.model.tokenize(BLANK + unit)]
-                got = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                got = self._piece(" " + unit)
-        elif not unit or unit[0].isspace() or unit[-1].isspace():
+                return struct.pack(f"<{len(ids)}I", *ids)
+            return self._piece(" " + unit)
+        if not unit or unit[0].isspace() or unit[-1].isspace():
             raise _Unsafe
-        elif unit[-1] in ".," and unit[:-1].isalpha():
-            got = self[unit[:-1]] + self._piece(unit[-1])
-        else:
-            got = self._pack(" " + unit)
-        self[unit] = got
-        return got
+        if unit[-1] in ".," and unit[:-1].isalpha():
+            return self[unit[:-1]] + self._piece(unit[-1])
+        return self._pack(" " + unit)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if len(self) > self.most:
-            self.clear()
-            self.words.clear()
         units = text.split(" ")
-        if len(units) == 1:
-            return self._pack(text)
-        if units[0] and not units[0][-1].isspace():
-            try:
-                return self._pack(units[0]) + b"".join(map(self.__getitem__, units[1:]))
-            except _Unsafe:
-                pass
+        if not self.special(text):
+            if len(units) == 1:
+                return self._pack(text)
+            if units[0] and not units[0][-1].isspace():
+                try:
+                    return self._pack(units[0]) + b"".join(map(self.__getitem__, units[1:]))
+                except _Unsafe:
+                    pass
         ids = self.tok.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def unit_encoder(path: str) -> UnitEncoder:
     return UnitEncoder(path)
 

@@ -8,11 +8,14 @@ sample of labelled rows, the only thing gathered on the driver.
 Thresholds are calibrated by language: the language of a text is guessed from the text alone
 (counts of hashed words), each language's threshold is chosen on rows kept out of training, and the
 score is shifted so that 0.5 is the threshold everywhere. Null and empty texts have a score too.
+Rows are scored one by one: equal texts get equal scores, repeated rows and null ids count like
+others, other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,16 +25,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesselle.llm.langid import sample_rate, slices, unit_hash
+from tesselle.llm.langid import MOST_LANGS, key_rates, rate_column, slices, unit_hash
+from tesselle.llm.memory import Memory
+from tesselle.llm.words import pieces
 
 WIDTHS = (1, 2, 3)
 
 
 @dataclass(frozen=True)
 class Params:
-    """``most`` bounds the sample: about so many rows of each class, chosen by a hash of doc_id."""
+    """``most`` bounds the sample: about so many rows of each class, chosen by a hash of doc_id, of up to
+    ``longest`` characters each (longer texts are scored, not learned from). So the driver gathers
+    no more than 2 * most * longest / 2 words of 4 bytes, and about 20 MB of ordinary documents."""
 
     most: int = 5000
+    longest: int = 50_000
     buckets: int = 1 << 18
     dim: int = 12
     filters: int = 12
@@ -43,34 +51,56 @@ class Params:
     calibrate: float = 0.2
 
 
-class Words(dict):
+class Words(Memory):
     """Raw word to bucket; bounded memory."""
 
-    def __init__(self, buckets: int, most: int = 1_000_000):
+    def __init__(self, buckets: int):
         super().__init__()
-        self.buckets, self.most = buckets, most
+        self.buckets = buckets
 
-    def __missing__(self, raw: str) -> int:
+    def make(self, raw: str) -> int:
         a, b = 0, len(raw)
         while a < b and not raw[a].isalnum():
             a += 1
         while b > a and not raw[b - 1].isalnum():
             b -= 1
         w = raw[a:b].lower()
-        got = self[raw] = 1 + zlib.crc32(w.encode("utf-8", "surrogatepass")) % (self.buckets - 1) if w else 0
-        return got
+        return 1 + zlib.crc32(w.encode("utf-8", "surrogatepass")) % (self.buckets - 1) if w else 0
 
     def ids(self, text: str | None) -> np.ndarray:
         """Buckets of a whole text's words, one place at least; words without letter or digit are bucket 0."""
-        if len(self) > self.most:
-            self.clear()
-        words = (text or "").split()
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words)) if words else np.zeros(1, np.int32)
+        runs = (t.split() for t in pieces(text or ""))
+        got = np.concatenate([np.fromiter(map(self.__getitem__, words), np.int32, len(words)) for words in runs])
+        return got if len(got) else np.zeros(1, np.int32)
+
+
+#: Places of a run that is convolved at once.
+RUN = 1 << 16
+_REACH = max(WIDTHS) - 1
+
+
+def windows(docs: list[np.ndarray], most: int = RUN) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(documents, ids) of runs of about ``most`` places. A longer document is cut: each of its windows holds its places
+    and the words that the filters of the last ones reach, so that the maxima over its windows are those of the whole."""
+    own, run, size = [], [], 0
+    for k, d in enumerate(docs):
+        for a in range(0, len(d), most):
+            last = a + most >= len(d)
+            own.append(k)
+            run.append(np.concatenate([d[a:], np.zeros(_REACH, np.int32)]) if last else d[a : a + most + _REACH])
+            if not last and len(run[-1]) < most + _REACH:
+                run[-1] = np.concatenate([run[-1], np.zeros(most + _REACH - len(run[-1]), np.int32)])
+            size += len(run[-1])
+            if size >= most:
+                yield own, run
+                own, run, size = [], [], 0
+    if own:
+        yield own, run
 
 
 def _lay(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All ids in a row with blanks between documents, document starts and lengths."""
-    gap = np.zeros(max(WIDTHS) - 1, np.int32)
+    gap = np.zeros(_REACH, np.int32)
     flat = np.concatenate([x for d in docs for x in (d, gap)])
     length = np.array([len(d) for d in docs])
     return flat, np.concatenate([[0], np.cumsum(length + len(gap))[:-1]]), length
@@ -98,19 +128,25 @@ class Net:
             got[w] = z
         return got
 
-    def pooled(self, docs: list[np.ndarray], places: bool = False):
+    def pooled(self, docs: list[np.ndarray]) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]:
+        """Pooled responses of a training batch, the places they stem from, and the ids in a row."""
         flat, start, length = _lay(docs)
         cut = np.stack([start, start + length], axis=1).ravel()
         maps = self.maps(flat)
         top = {w: np.maximum.reduceat(z, cut, axis=0)[::2] for w, z in maps.items()}
         x = np.concatenate([np.maximum(top[w] + self.b[w], 0) for w in WIDTHS], axis=1)
-        if not places:
-            return x
         at = {w: np.stack([s + z[s : s + n].argmax(axis=0) for s, n in zip(start, length)]) for w, z in maps.items()}
         return x, at, flat
 
-    def logits(self, docs: list[np.ndarray]) -> np.ndarray:
-        return (self.pooled(docs) @ self.out + self.bias[0]).astype(np.float64)
+    def logits(self, docs: list[np.ndarray], most: int = RUN) -> np.ndarray:
+        top = {w: np.full((len(docs), self.p.filters), -np.inf, np.float32) for w in WIDTHS}
+        for own, run in windows(docs, most):
+            start = np.cumsum([0, *(len(x) for x in run)])
+            cut = np.stack([start[:-1], start[1:] - _REACH], axis=1).ravel()
+            for w, z in self.maps(np.concatenate(run)).items():
+                np.maximum.at(top[w], own, np.maximum.reduceat(z, cut, axis=0)[::2])
+        x = np.concatenate([np.maximum(top[w] + self.b[w], 0) for w in WIDTHS], axis=1)
+        return (x @ self.out + self.bias[0]).astype(np.float64)
 
     def train(self, docs: list[np.ndarray], label: np.ndarray, weight: np.ndarray) -> None:
         p = self.p
@@ -131,7 +167,7 @@ class Net:
             order = g.permutation(len(docs))
             for k in range(0, len(order), p.batch):
                 own = order[k : k + p.batch]
-                x, at, flat = self.pooled([docs[i] for i in own], places=True)
+                x, at, flat = self.pooled([docs[i] for i in own])
                 prob = 1 / (1 + np.exp(-(x @ self.out + self.bias[0])))
                 d = ((prob - label[own]) * weight[own] / len(own)).astype(np.float32)
                 dx = np.outer(d, self.out) * (x > 0)
@@ -161,30 +197,37 @@ class Net:
 class Guess:
     """The language of a text from its words alone: naive Bayes over hashed words."""
 
-    def __init__(self, docs: list[np.ndarray], langs: list[str | None], buckets: int = 1 << 14):
-        self.names = sorted({x for x in langs if x is not None}) or ["all"]
+    def __init__(self, docs: list[np.ndarray], langs: list[str | None], buckets: int = 1 << 14, most: int = MOST_LANGS):
+        often = Counter(x for x in langs if x is not None)
+        self.names = sorted(sorted(often, key=lambda x: (-often[x], x))[:most]) or ["all"]
         self.buckets = buckets
         count = np.full((buckets, len(self.names)), 0.1)
+        known = set(self.names)
         for d, lang in zip(docs, langs):
-            if lang is not None:
+            if lang in known:
                 np.add.at(count[:, self.names.index(lang)], np.unique(d) % buckets, 1)
         self.log = np.log(count / count.sum(axis=0)).astype(np.float32)
 
     def __call__(self, docs: list[np.ndarray]) -> np.ndarray:
         if len(self.names) == 1:
             return np.zeros(len(docs), int)
-        at = np.cumsum([0, *(len(d) for d in docs)])[:-1]
-        return np.add.reduceat(self.log[np.concatenate(docs) % self.buckets], at, axis=0).argmax(axis=1)
+        total = np.zeros((len(docs), len(self.names)), np.float32)
+        for k, d in enumerate(docs):
+            for a in range(0, len(d), RUN):
+                total[k] += self.log[d[a : a + RUN] % self.buckets].sum(axis=0)
+        return total.argmax(axis=1)
 
 
-def best_threshold(logit: np.ndarray, label: np.ndarray) -> float:
-    """The threshold with the fewest errors, in the middle of its gap; 0 if a class is missing."""
+def best_threshold(logit: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> float:
+    """The threshold with the least weight of errors, in the middle of its gap; 0 if a class is missing."""
     if not len(logit) or label.min() == label.max():
         return 0.0
     order = np.argsort(logit, kind="stable")
     x, y = logit[order], label[order]
-    wrong = np.concatenate([[(y == 0).sum()], (y == 0).sum() - np.cumsum(y == 0) + np.cumsum(y == 1)])
-    wrong[1:-1][x[1:] == x[:-1]] = len(y) + 1
+    w = np.ones(len(y)) if weight is None else weight[order]
+    clean, bad = np.where(y == 0, w, 0), np.where(y == 1, w, 0)
+    wrong = np.round(np.concatenate([[clean.sum()], clean.sum() - np.cumsum(clean) + np.cumsum(bad)]), 6)
+    wrong[1:-1][x[1:] == x[:-1]] = np.inf
     k = np.flatnonzero(wrong == wrong.min())
     k = k[len(k) // 2]
     return float(x[0] - 1 if k == 0 else x[-1] + 1 if k == len(x) else (x[k - 1] + x[k]) / 2)
@@ -213,8 +256,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, params: Params = Par
     document the larger counts. Without both classes the model answers the one class it has seen, or 0.
     """
     seen = labels.filter(usable & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
-    sampled = seen.filter(unit_hash(F.col("doc_id"), 5) < sample_rate(seen, "toxic", params.most)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    taken = docs.select("doc_id", "text", "lang").join(F.broadcast(sampled), "doc_id")
+    rates = key_rates(seen, "toxic", params.most)
+    sampled = seen.filter(unit_hash(F.col("doc_id"), 5) < rate_column(rates, "toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    taken = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= params.longest).select("doc_id", "text", "lang").join(F.broadcast(sampled), "doc_id")
     buckets = params.buckets
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +282,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, params: Params = Par
     tune = [docs[i] for i in tune_on]
     logit = np.concatenate([net.logits(tune[k : k + 256]) for k in range(0, len(tune), 256)]) if tune else np.zeros(0)
     which = np.concatenate([guess(tune[k : k + 256]) for k in range(0, len(tune), 256)]) if tune else np.zeros(0, int)
-    everywhere = best_threshold(logit, label[tune_on])
-    shift = np.array([best_threshold(logit[which == k], label[tune_on][which == k]) if (which == k).sum() >= 50 else everywhere for k in range(len(guess.names))])
+    # The classes are sampled at rates of their own: an error counts as many rows as its row stands for.
+    stands = np.array([1 / rates.get(int(x), 1.0) for x in label[tune_on]])
+    everywhere = best_threshold(logit, label[tune_on], stands)
+    of = [np.flatnonzero(which == k) for k in range(len(guess.names))]
+    shift = np.array([best_threshold(logit[k], label[tune_on][k], stands[k]) if len(k) >= 50 else everywhere for k in of])
     return Model(net, guess, shift)
 
 

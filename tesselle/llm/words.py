@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,23 @@ ASCII_LOWER = str.maketrans(_UPPER, _UPPER.lower())
 _BLANKS = str.maketrans({c: " " for c in "\t\n\v\f\r"})
 
 
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+#: Characters of a text that are handled at once.
+PIECE = 1 << 18
+
+
+def pieces(text: str, most: int = PIECE) -> Iterator[str]:
+    """A whole text in runs of about ``most`` characters, cut behind white space only, so that no word is split."""
+    at = 0
+    while len(text) - at > most:
+        m = _SPACE.search(text, at + most)
+        if m is None:
+            break
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:] if at else text
+
+
 def split_words(text: str | None) -> list[str]:
     """Words of a text; Unicode spaces belong to words, as in WORD."""
     if not text:

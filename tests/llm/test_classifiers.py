@@ -42,7 +42,7 @@ def test_languages_on_held_out_documents(spark, documents):
 def test_language_profile_equals_plain_binding():
     v, letters = langid.profiles(["Ab b", None, "12 !"], 64)
     padded = " ab b "
-    want = sum(np.roll(langid.letter_vector(ord(a), 64), 2) * np.roll(langid.letter_vector(ord(b), 64), 1) * langid.letter_vector(ord(c), 64) for a, b, c in zip(padded, padded[1:], padded[2:]))
+    want = sum(1.0 * np.roll(langid.letter_vector(ord(a), 64), 2) * np.roll(langid.letter_vector(ord(b), 64), 1) * langid.letter_vector(ord(c), 64) for a, b, c in zip(padded, padded[1:], padded[2:]))
     assert np.allclose(v[0], want / np.linalg.norm(want)) and letters.tolist() == [3, 0, 0] and not v[1:].any()
 
 
@@ -52,6 +52,27 @@ def test_large_alphabets(spark):
     assert letters.tolist() == [400, 3] and abs(np.linalg.norm(v[0]) - 1) < 1e-5
 
 
+def test_profiles_do_not_depend_on_runs():
+    rng = random.Random(6)
+    texts = [text(rng, "zz", 60), None, "--- a" + "-" * 90 + "b c", "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(500)), "Ünd so İx ΣΑΣ" * 9]
+    want, letters = langid.sums(texts, 64)
+    for run, step in ((1, 1), (2, 7), (13, 64), (50, 5000)):
+        got, n = langid.sums(texts, 64, run, step)
+        assert np.array_equal(got, want) and ((n > 0) == (letters > 0)).all()
+
+
+def test_letters_beyond_the_basic_planes(spark, documents):
+    far = "".join(chr(0x30000 + k) for k in range(20))
+    docs = documents([(1, far), (2, "abc def"), (3, far)])
+    model = langid.fit(docs.withColumn("lang", F.when(F.col("doc_id") == 2, "en").otherwise("hz")), F.lit(True))
+    assert [r.lang_pred for r in langid.predict(docs, model).orderBy("doc_id").collect()] == ["hz", "en", "hz"]
+
+
+def test_sample_of_many_languages(spark):
+    keys = spark.range(300).selectExpr("concat('l', lpad(cast(id % 100 as string), 3, '0')) k")
+    assert len(langid.key_rates(keys, "k", 2, 10)) == 10 and langid.key_rates(keys, "k", 2, 200)["l007"] == 2 / 3
+
+
 def test_language_odd_rows(spark, odd):
     model = langid.fit(odd, F.lit(True))
     got = {r.doc_id: r for r in langid.predict(odd, model).collect()}
@@ -86,15 +107,63 @@ def test_toxicity_odd_rows(spark, documents, odd):
     assert toxicity.score(odd.limit(0), model).count() == 0
 
 
-def test_gradients_equal_differences():
-    p = toxicity.Params(buckets=50, dim=3, filters=2, epochs=1, batch=4, rate=1e-3)
+def plain_logit(net, ids):
+    """The network on one document, place by place."""
+    h = [net.emb[i].astype(np.float64) for i in ids] + [np.zeros(net.p.dim)] * (max(toxicity.WIDTHS) - 1)
+    x = []
+    for w in toxicity.WIDTHS:
+        z = [sum(h[k + j] @ net.w[w][j] for j in range(w)) for k in range(len(ids))]
+        x.append(np.maximum(np.max(z, axis=0) + net.b[w], 0))
+    return np.concatenate(x) @ net.out + net.bias[0]
+
+
+def test_scores_equal_a_plain_convolution():
+    rng = np.random.default_rng(2)
+    net = toxicity.Net(toxicity.Params(buckets=50, dim=3, filters=4))
+    docs = [rng.integers(0, 50, n).astype(np.int32) for n in (1, 2, 3, 7, 8, 9, 16, 30, 31)]
+    want = [plain_logit(net, d) for d in docs]
+    for most in (1, 2, 4, 8, toxicity.RUN):
+        assert np.allclose(net.logits(docs, most), want, atol=1e-5)
+
+
+def test_steps_follow_finite_differences():
+    """One step moves every weight against the numeric derivative of the loss, by rate * g / sqrt(g * g + 1e-6)."""
+    p = toxicity.Params(buckets=12, dim=2, filters=2, epochs=1, batch=4, rate=1e-3)
     docs = [np.array(d, np.int32) for d in ([1, 2, 3, 4], [5], [6, 7], [8, 9, 10])]
+    label, weight = np.array([1, 0, 1, 0], np.float32), np.ones(4, np.float32)
     net = toxicity.Net(p)
-    before = [net.logits([d])[0] for d in docs]
-    assert np.allclose(before, net.logits(docs))
-    maps = net.maps(np.array([1, 2, 0, 0]))
-    assert np.allclose(maps[2][0], net.emb[1] @ net.w[2][0] + net.emb[2] @ net.w[2][1], atol=1e-6)
-    label = np.array([1, 0, 1, 0], np.float32)
+    for a in (net.emb, net.out, *net.w.values(), *net.b.values()):
+        a *= 3
+
+    def loss():
+        z = np.array([plain_logit(net, d) for d in docs])
+        return np.mean(np.logaddexp(0, np.where(label > 0, -1, 1) * z)) + 0.5e-5 * float(net.out @ net.out)
+
+    numeric = {}
+    for name, a in [("emb", net.emb), ("out", net.out), ("bias", net.bias), *((f"w{w}", net.w[w]) for w in net.w), *((f"b{w}", net.b[w]) for w in net.b)]:
+        g = np.zeros(a.shape)
+        for i in np.ndindex(a.shape):
+            was = a[i]
+            ends = []
+            for d in (1e-3, -1e-3):
+                a[i] = was + np.float32(d)
+                ends.append((loss(), float(a[i])))
+            a[i] = was
+            g[i] = (ends[0][0] - ends[1][0]) / (ends[0][1] - ends[1][1])
+        numeric[name] = (a, a.copy(), g)
+    net.train(docs, label, weight)
+    for name, (a, was, g) in numeric.items():
+        if name == "emb":
+            g[0] = 0
+        step = -p.rate * (3 if name == "emb" else 1) * g / np.sqrt(g * g + 1e-6)
+        near = np.abs(g) > 1e-3
+        assert near.any() and np.allclose((a - was)[near], step[near], rtol=0.05, atol=2e-5), name
+
+
+def test_training_lowers_the_loss():
+    p = toxicity.Params(buckets=50, dim=3, filters=2, epochs=1, batch=4, rate=1e-3)
+    docs = [np.array(d, np.int32) for d in ([1, 2, 3, 4], [5], [6, 7], [8, 9, 10])]
+    net, label = toxicity.Net(p), np.array([1, 0, 1, 0], np.float32)
     loss = lambda: float(np.mean(np.logaddexp(0, np.where(label > 0, -1, 1) * net.logits(docs))))
     was = loss()
     for _ in range(30):
@@ -105,3 +174,5 @@ def test_gradients_equal_differences():
 def test_threshold():
     assert toxicity.best_threshold(np.array([-2.0, -1, 1, 3]), np.array([0, 0, 1, 1])) == 0.0
     assert toxicity.best_threshold(np.zeros(0), np.zeros(0)) == 0.0
+    logit, label = np.array([0.0, 1, 2, 3]), np.array([0, 1, 0, 1])
+    assert toxicity.best_threshold(logit, label, np.array([1.0, 1, 9, 1])) == 2.5 and toxicity.best_threshold(logit, label, np.array([1.0, 9, 1, 1])) == 0.5

@@ -1,8 +1,11 @@
+import random
 import struct
 import zlib
+from functools import lru_cache
 
 import pytest
 from pyarrow import fs
+from tokenizers import Tokenizer
 
 from tesselle.llm import tokenbin
 from tesselle.llm.queries import tokenizer_file
@@ -12,8 +15,14 @@ FILE = tokenizer_file("byte_bpe_50k.json")
 TEXTS = ["a  b", " a b ", "a\n b", "x's don't 12 3  4 \x1c y", "", "  ", "\n", "é  ü", "<|endoftext|> hi", "a. b, c.. d,", "ab.\ncd ef", "日本 語 \U0001f600", "word " * 5000]
 
 
+@lru_cache(maxsize=1)
+def library():
+    """The library as it is, loaded apart from the operator."""
+    return Tokenizer.from_file(FILE)
+
+
 def whole(text):
-    return tokenbin.unit_encoder(FILE).tok.encode(text or "", add_special_tokens=False).ids
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def test_units_equal_the_library():
@@ -23,6 +32,15 @@ def test_units_equal_the_library():
         assert e.encode(t) == struct.pack(f"<{len(ids)}I", *ids)
 
 
+@pytest.mark.parametrize("alphabet", [["a", "B", "é", " ", "  ", "\n", ".", ",", "'s", "1", "日", "\t", "the", "_"], ["a", " ", ".", "\n", "<|endoftext|>", "<|", "|>", "endoftext", "x"]])
+def test_random_strings_equal_the_library(alphabet):
+    e, rng = tokenbin.UnitEncoder(FILE, most=500), random.Random(8)
+    for _ in range(20_000):
+        t = "".join(rng.choices(alphabet, k=rng.randrange(12)))
+        ids = whole(t)
+        assert e.encode(t) == struct.pack(f"<{len(ids)}I", *ids), t
+
+
 def test_shards_read_back(spark, odd):
     got = tokenbin.tokenize_to_shards(odd, FILE).collect()
     assert len(got) == 10
