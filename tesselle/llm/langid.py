@@ -40,7 +40,7 @@ def _is_letter() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=16384)
 def letter_vector(code: int, dim: int) -> np.ndarray:
     return (np.random.Generator(np.random.PCG64([7919, code])).integers(0, 2, dim) * 2 - 1).astype(np.int8)
 

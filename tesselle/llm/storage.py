@@ -1,8 +1,8 @@
 """Shared storage of a run: everything that one task writes and another reads goes through here.
 
 Executors have no common local disk, so intermediate tables and binary shards live under the
-folder named by ``spark.checkpoint.dir``. Only where that setting is absent (tests, a laptop)
-is a temporary folder made and configured.
+folder named by ``spark.checkpoint.dir``. Only where that setting is absent and the master is local
+(tests, a laptop) is a temporary folder made and configured; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder as a URI, without a trailing slash."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own.get("dir") or _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tesselle-"))
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

@@ -10,7 +10,7 @@ def sets_of(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows):
+def brute(rows, link=85):
     sets = {i: sets_of(t) for i, t in rows if i is not None}
     root = {i: i for i in sets}
 
@@ -23,7 +23,7 @@ def brute(rows):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= link * len(x | y):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     return {i: (len(sets[i]), find(i)) for i in sets}
@@ -41,17 +41,16 @@ def group(rng, first, n, words, edits):
     return out
 
 
-@pytest.mark.parametrize("block", [60_000, 1500])
-def test_components_equal_brute_force(spark, documents, monkeypatch, block):
-    monkeypatch.setattr(minhash, "BLOCK", block)
+@pytest.mark.parametrize("link, block, block_rows", [(85, 60_000, 1000), (85, 1500, 7), (80, 60_000, 1000)])
+def test_components_equal_brute_force(spark, documents, link, block, block_rows):
     rng = random.Random(4)
     rows = group(rng, 0, 60, 120, 4) + group(rng, 100, 30, 40, 2) + group(rng, 200, 5, 300, 8)
     rows += [(300 + k, rows[k % 7][1].upper()) for k in range(20)]
     shared = " ".join(f"p{k}" for k in range(60))
     rows += [(400 + k, shared + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(15 + k))) for k in range(40)]
     rows += [(500 + k, t) for k, t in enumerate([None, "", " \n ", "a b c", "A b  c", "a b c d", "É b c", "é b c"])]
-    got = minhash.link_components(documents(rows)).collect()
-    want = brute(rows)
+    got = minhash.link_components(documents(rows), link, block, block_rows).collect()
+    want = brute(rows, link)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
@@ -66,3 +65,26 @@ def test_odd_rows_and_empty_table(spark, documents, odd):
 def test_repeated_ids(spark, documents):
     got = minhash.link_components(documents([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")])).collect()
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False)]
+
+
+def test_one_id_with_several_texts(spark, documents):
+    """Rows of one id are one node: its texts tie their groups together, and near copies of either text are found."""
+    rng = random.Random(7)
+    one, two = group(rng, 10, 4, 100, 1), group(rng, 20, 4, 100, 1)
+    rows = [*one, *two, (1, one[0][1] + " x"), (1, two[0][1] + " y"), (30, "some other words that stand alone here")]
+    got = {(r.doc_id, r.component_id) for r in minhash.link_components(documents(rows)).collect()}
+    assert got == {(i, 1) for i, _ in [*one, *two, (1, "")]} | {(30, 30)}
+
+
+def test_least_matches():
+    assert minhash.least_matches(85) == 30 and minhash.least_matches(80) == 27 and minhash.least_matches(100) == 48
+
+
+def test_texts_in_runs_have_the_same_shingles(monkeypatch):
+    from tesselle.llm import words
+
+    text = "  ".join(f"w{k % 37}" for k in range(500))
+    want = minhash.WordHashes().shingles(text).tolist()
+    assert [x for t in words.pieces(text, 10) for x in t.split()] == text.split() and "".join(words.pieces(text, 10)) == text
+    monkeypatch.setattr(words.pieces, "__defaults__", (10,))
+    assert minhash.WordHashes().shingles(text).tolist() == want
