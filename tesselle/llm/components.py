@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselle.llm.storage import discard, materialize
+from tesselle.llm.storage import discard, held_by, materialize
 from tesselle.operators.stars import large_star, mark, small_star
 
 
@@ -27,4 +27,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now, was, last = nxt, last, mark(nxt)
         if last == was:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return held_by(out, now)

@@ -291,9 +291,12 @@ def link_components(docs: DataFrame, link: int = LINK, block: int = BLOCK, block
     spread = spread.select("rep", "comp", "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     blocked = spread.join(_grows(sets.join(_grows(of), "rep")), "rep").groupBy("token", "i", "j").applyInArrow(_block_links(link, least), "a long, b long")
     everything = connected_components(links.union(pairs).union(blocked))
-    discard(sets, rest, links)
+    discard(sets, rest, links, first)
 
     groups = items.select("h1", "h2", "rep").join(everything.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
     found = sig.select("doc_id", "n", "h1", "h2").join(groups, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("rep", "doc_id").alias("set_rep")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("rep", "doc_id").alias("set_rep")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = materialize(out, "components")
+    discard(sig, several, items, everything)
+    return out

@@ -44,6 +44,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def held_by(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, which reads a materialized table of its own; discarding ``df`` deletes that table."""
+    df._tesselle_path = table._tesselle_path
+    return df
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that no returned plan reads any more."""
     for t in tables:

@@ -26,20 +26,20 @@ def brute(rows, weights=(5, 2, 1)):
         open_ -= full
     taken = [0] * len(rows)
     for s in names:
-        own = sorted((k for k, r in enumerate(rows) if r[3] == s), key=lambda k: (hashlib.md5(("" if rows[k][0] is None else str(rows[k][0])).encode()).hexdigest(), rows[k][0] or -1, size[k]))
+        own = sorted((k for k, r in enumerate(rows) if r[3] == s), key=lambda k: (hashlib.md5(("" if rows[k][0] is None else str(rows[k][0])).encode()).hexdigest(), -1 if rows[k][0] is None else rows[k][0], size[k]))
         budget = math.floor(target[s] + 1e-9)
         while budget > 0 and total[s]:
             for k in own:
                 t = min(size[k], budget)
                 taken[k] += t
                 budget -= t
-    return sorted((r[0] or -1, z, t, round(target[r[3]], 6)) for r, z, t in zip(rows, size, taken))
+    return sorted((-1 if r[0] is None else r[0], z, t, round(target[r[3]], 6)) for r, z, t in zip(rows, size, taken))
 
 
 def test_plan_equals_brute_force(spark, documents):
     rows = [(i, "w " * (i * 7 % 23), "en", f"s{i % 5 if i % 3 else 0}") for i in range(200)] + [(None, "a b", "en", None), (900, None, "en", None), (901, "x", "en", None), (901, "x", "en", None)]
     got = mixing.plan(documents(rows)).collect()
-    assert sorted((r.doc_id or -1, r.size, r.taken, round(r.target, 6)) for r in got) == brute(rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.size, r.taken, round(r.target, 6)) for r in got) == brute(rows)
     assert all(r.taken <= 2 * r.size for r in got)
 
 

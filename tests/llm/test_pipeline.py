@@ -4,9 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tesselle.llm import langid, minhash, mixing, spm, toxicity
+from tesselle.llm import langid, spm, toxicity
 from tesselle.llm.langid import fold
 from tesselle.llm.queries import ORACLE_SQL, QUERIES, tokenizer_file
+from test_minhash import brute
+from test_mixing import brute as plain_mix
+from test_spm import ids, plain
 
 DATA = "/root/testdata/sf0.001"
 
@@ -32,20 +35,22 @@ def test_stages_equal_plain_versions(spark):
     two = cp.language(spark, one, DATA).persist()
     assert {r.doc_id for r in two.collect()} == said
 
-    comp = {r.doc_id: r.component_id for r in minhash.link_components(two).collect()}
+    comp = {k: c for k, (_, c) in brute([(k, rows[k].text) for k in said], cp.SIMILAR).items()}
     three = cp.near_duplicates(spark, two, DATA).persist()
     assert {r.doc_id for r in three.collect()} == {k for k in said if comp[k] == k}
 
-    taken = {r.doc_id: r.taken for r in mixing.plan(three).collect()}
+    taken = {i: t for i, _, t, _ in plain_mix([(r.doc_id, r.text, r.lang, r.source) for r in three.collect()])}
     four = cp.mix(spark, three, DATA).persist()
     got = {}
     for r in four.collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.encode().split())
     assert got == {k: t for k, t in taken.items() if t}
 
-    enc = spm.encoder(tokenizer_file("piece_bpe_32k.model"))
+    v = spm.Vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    want = {t: plain(v, v.prepare(t))[0] for t in {r.text for r in four.collect()}}
     five = cp.token_ids(spark, four, DATA).collect()
-    assert sorted((r.doc_id, bytes(r.ids)) for r in five) == sorted((r.doc_id, enc.encode(r.text)) for r in four.collect())
+    assert sorted((r.doc_id, ids(r.ids)) for r in five) == sorted((r.doc_id, want[r.text]) for r in four.collect())
+    assert all(r.n_pieces == len(r.ids) // 4 for r in five)
 
 
 def test_stages_take_odd_and_empty_tables(spark, odd, tmp_path):
