@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from tesselle.llm import langid, minhash, mixing, spm, toxicity
 from tesselle.llm.langid import fold
 from tesselle.llm.queries import table, tokenizer_file
-from tesselle.llm.storage import materialize
+from tesselle.llm.storage import discard, materialize
 
 #: A declared language is overruled where another one fits so much better.
 LANGUAGE_MARGIN = 0.25
+#: Documents whose 5-word shingle sets are alike to so many hundredths are near-duplicates.
+SIMILAR = 80
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; rows of one id stay or go together."""
-    gone = minhash.link_components(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = minhash.link_components(docs, SIMILAR).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -67,5 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage{k}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage{k}")
+        discard(before)
     return docs
