@@ -9,7 +9,11 @@ Defined results: exact repeats of a row (same conversation, turn, speaker and te
 turns of one number follow speaker and text; a null turn comes first, as number -1; a null text is
 empty; a null speaker is the participant ``unknown``; a null conversation id is a conversation of
 its own; conversations of system turns only have no participant and give no row. Other columns are
-ignored.
+ignored. Texts and speakers are kept as they are, also where they hold line ends or the strings of
+the marks: the mask's lengths, not the marks, tell where a turn begins and ends.
+
+The table of parts is the operator's layout, for dialogues of every length alike; ``whole`` joins the
+parts of a perspective where dialogues are known to fit a row.
 """
 
 from __future__ import annotations
@@ -67,6 +71,14 @@ def rotate_perspectives(
     )
 
 
+def whole(parts: DataFrame) -> DataFrame:
+    """(conv_id, perspective, n_turns, rendered, mask, n_loss_chars): the parts of each rendering joined in order."""
+    x = parts.groupBy("conv_id", "perspective").agg(
+        F.sum("n_turns").alias("n_turns"), F.array_sort(F.collect_list(F.struct("part", "rendered", "mask"))).alias("p"), F.sum("n_loss_chars").alias("n_loss_chars")
+    )
+    return x.select("conv_id", "perspective", "n_turns", F.array_join("p.rendered", "").alias("rendered"), F.array_join("p.mask", ",").alias("mask"), "n_loss_chars")
+
+
 SQL = f"""
 WITH t AS (
   SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said FROM conversations),

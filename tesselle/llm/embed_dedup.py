@@ -182,7 +182,7 @@ def link_components(vectors: DataFrame, cosine: float = MIN_COSINE, tables: int
     Vectors link when their labels are equal and not null, their lengths are equal and their cosine is
     at least ``cosine``. Null or zero vectors, and those with null, NaN or infinite components, link
     with nothing. Rows with a null id are neighbours of none and have a null component. Rows of one
-    id are one node of the graph and take the links of its first vector.
+    id are one vector: of different ones the first by label and hash counts, the same in every run.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
 
@@ -198,7 +198,8 @@ def link_components(vectors: DataFrame, cosine: float = MIN_COSINE, tables: int
 
     usable = v.filter("vec_id is not null and label is not null and embedding is not null")
     ready = materialize(usable.mapInArrow(prepare, "vec_id long, label string, h1 long, h2 long, unit binary"), "units")
-    one = ready.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("uid"), F.count("*").alias("mult"))
+    of_id = materialize(ready.groupBy("vec_id").agg(F.min(F.struct("label", "h1", "h2")).alias("x")).select("vec_id", "x.*"), "ids")
+    one = of_id.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("uid"), F.count("*").alias("mult"))
     one = materialize(one, "distinct")
     units = ready.join(one, ["label", "h1", "h2"]).filter("vec_id = uid").dropDuplicates(["uid"]).select("uid", "label", "mult", "unit")
 
@@ -286,7 +287,7 @@ def link_components(vectors: DataFrame, cosine: float = MIN_COSINE, tables: int
     comp = connected_components(edges)
     per = of.join(ball.select("cls", "weight"), "cls").join(more, "uid", "left").join(comp.select(F.col("node").alias("uid"), "component"), "uid", "left")
     per = per.select("uid", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "uid").alias("component"))
-    known = ready.join(one, ["label", "h1", "h2"]).select("vec_id", "uid").dropDuplicates(["vec_id"]).join(per, "uid").select("vec_id", "n_links", "component")
+    known = of_id.join(one, ["label", "h1", "h2"]).select("vec_id", "uid").join(per, "uid").select("vec_id", "n_links", "component")
     out = v.select("vec_id").join(known, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

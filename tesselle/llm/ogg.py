@@ -3,6 +3,9 @@
 Reading verifies each page's checksum, joins lacing values to packets (also over page ends), keeps
 logical streams apart by serial number and gives each packet a time from granule positions. A page
 that fails its checksum is skipped and counted; a packet that it cut is dropped, later ones stand.
+
+Null and empty texts are one frame of padding; null media have no streams. Rows are handled one by
+one, so repeated rows and null ids give rows like others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,20 +85,20 @@ def stream_pages(serial: int, packets: list[bytes], granules: list[int]) -> list
     return out
 
 
-def store_samples(payload: bytes, frame: int = FRAME, rate: int = RATE) -> bytes:
-    """8-bit samples as two interleaved logical streams: even frames in one, odd frames in the other.
+def store_samples(payload: bytes, frame: int = FRAME, rate: int = RATE, n_streams: int = 2) -> bytes:
+    """8-bit samples as interleaved logical streams, to which frames are dealt in turn.
 
     Granule positions count samples from the start, so the reader's times put the frames in order.
     """
     serial = zlib.crc32(payload) & 0x7FFFFFFF
     frames = [payload[k : k + frame] for k in range(0, len(payload), frame)]
-    pages: list[tuple[int, int, bytes]] = []
-    for odd in (0, 1):
-        own = [(2 * j + odd, f) for j, f in enumerate(frames[odd::2])]
+    pages: list[tuple[int, int, int, bytes]] = []
+    for own in range(n_streams):
+        dealt = frames[own::n_streams]
         head = CODEC + struct.pack("<IIQ", rate, frame, len(payload))
-        granules = [0] + [min(len(payload), (k + 1) * frame) for k, _ in own]
-        got = stream_pages(serial + odd, [head, *(f for _, f in own)], granules)
-        pages += [(0 if k == 0 else 1, g, odd, p) for k, (g, p) in enumerate(got)]
+        granules = [0] + [min(len(payload), (n_streams * j + own + 1) * frame) for j in range(len(dealt))]
+        got = stream_pages(serial + own, [head, *dealt], granules)
+        pages += [(0 if k == 0 else 1, g, own, p) for k, (g, p) in enumerate(got)]
     return b"".join(p for *_, p in sorted(pages, key=lambda x: x[:3]))
 
 
@@ -159,29 +162,35 @@ def _add_page(s: Stream, flags: int, granule: int, number: int, lacing: bytes, m
     s.granules += [None] * max(0, done - 1) + [granule if granule != NO_GRANULE else None] * (done > 0)
 
 
-def timed_frames(s: Stream) -> list[tuple[int, bytes]]:
-    """(start position, samples) of a sample stream's packets.
+def is_samples(s: Stream) -> bool:
+    return bool(s.packets) and s.packets[0].startswith(CODEC) and len(s.packets[0]) >= len(CODEC) + 16
+
+
+def timed_frames(s: Stream, n_streams: int) -> list[tuple[int, bytes]]:
+    """(start position, samples) of the packets of one of a file's ``n_streams`` sample streams.
 
-    A page tells the end of its last packet only; with two interleaved streams, packets before it
-    lie two frames apart.
+    A page tells the end of its last packet only. A packet of 8-bit samples lasts as many positions as
+    it has bytes, and between two packets of a stream the other streams have a frame each, so earlier
+    packets follow backwards from that end.
     """
-    if not s.packets or not s.packets[0].startswith(CODEC):
+    if not is_samples(s):
         return []
     _, frame, _ = struct.unpack_from("<IIQ", s.packets[0], len(CODEC))
     out: list[tuple[int, bytes]] = []
     end: int | None = None
     for p, g in zip(reversed(s.packets[1:]), reversed(s.granules[1:])):
-        end = g if g is not None else (None if end is None else end - 2 * frame)
+        end = g if g is not None else end
         if end is not None:
-            out.append((-(-end // frame) * frame - frame, p))
-            end = out[-1][0] + frame
+            out.append((end - len(p), p))
+            end = out[-1][0] - (n_streams - 1) * frame
     return out[::-1]
 
 
 def samples(media: bytes | None) -> tuple[bytes, dict]:
     """Samples of all sample streams in time order, and counts."""
     streams, bad = read_streams(media)
-    frames = sorted(((t, s.serial, p) for s in streams.values() for t, p in timed_frames(s)))
+    n = sum(map(is_samples, streams.values()))
+    frames = sorted(((t, s.serial, p) for s in streams.values() for t, p in timed_frames(s, n)))
     info = {"streams": len(streams), "pages": sum(s.pages for s in streams.values()), "packets": sum(len(s.packets) for s in streams.values()), "bad": bad}
     return b"".join(p for *_, p in frames), info
 

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -193,8 +194,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0
     Range partitions of doc_id become shards, so that shard number and frame number follow
     ascending doc_id; rows of one doc_id follow their text's hash. Null texts encode as empty,
     null ids come first, extra columns are ignored. Tasks write under a name of their own and
-    rename at the end, so a repeated or speculative attempt leaves whole files only. The manifest
-    (shard, path, n_docs, n_ids; a row for each shard) is itself a table beside the shards.
+    rename at the end, so a repeated or speculative attempt leaves whole files only; drafts that
+    failed attempts left are deleted. The manifest (shard, path, n_docs, n_ids, least and most doc_id;
+    a row for each shard) is itself a table beside the shards.
     """
     spark = docs.sparkSession
 
@@ -205,6 +207,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0
         fs, base = filesystem(out)
         writer = file = None
         n_docs = n_ids = 0
+        lo = hi = None
         draft, final = f"{base}/draft-{uuid.uuid4().hex}", f"{base}/shard-{shard:06d}.zst"
         for b in batches:
             for k in range(0, b.num_rows, batch):
@@ -217,14 +220,19 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0
                     ids = enc.encode(text or "") + end
                     writer.add(doc_id, ids)
                     n_docs, n_ids = n_docs + 1, n_ids + len(ids) // 4
+                    lo, hi = (doc_id if lo is None else lo), doc_id
         if writer is not None:
             writer.close()
             file.close()
             fs.move(draft, final)
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{out}/shard-{shard:06d}.zst", "n_docs": n_docs, "n_ids": n_ids}], schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{out}/shard-{shard:06d}.zst", "n_docs": n_docs, "n_ids": n_ids, "least": lo, "most": hi}], schema=pa.schema([(c, pa.string() if c == "path" else pa.int64()) for c in ("shard", "path", "n_docs", "n_ids", "least", "most")]))
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(encode, "shard long, path string, n_docs long, n_ids long").write.mode("overwrite").parquet(f"{out}/manifest")
+    ordered.mapInArrow(encode, "shard long, path string, n_docs long, n_ids long, least long, most long").write.mode("overwrite").parquet(f"{out}/manifest")
+    fs, base = filesystem(out)
+    for f in fs.get_file_info(FileSelector(base, allow_not_found=True)):
+        if f.base_name.startswith("draft-"):
+            fs.delete_file(f.path)
     return spark.read.parquet(f"{out}/manifest")
 
 
@@ -256,17 +264,24 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, doc_ids: list[int]) -> dict[int, list[int]]:
-    """Ids of a few requested documents, read on the driver by frame; each shard's seek table is read once."""
-    want, got = set(doc_ids), {}
-    for row in manifest.toLocalIterator():
-        fs, path = filesystem(row.path)
-        with fs.open_input_file(path) as f:
-            r = ShardReader(f)
-            for k, d in enumerate(r.doc_ids):
-                if d in want:
-                    ids = r.frame(k)
-                    got[d] = list(struct.unpack(f"<{len(ids) // 4}I", ids))
-    return got
+    """Ids of a few requested documents. Tasks open only the shards whose range holds one and read only its frames."""
+    want = sorted(set(doc_ids))
+    if not want:
+        return {}
+    holds = F.exists(F.array(*[F.lit(d).cast("long") for d in want]), lambda d: (d >= F.col("least")) & (d <= F.col("most")))
+    holds = holds | F.col("least").isNull() & (F.col("most") >= want[0])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                fs, path = filesystem(path)
+                with fs.open_input_file(path) as f:
+                    r = ShardReader(f)
+                    got = [(d, r.frame(k)) for k, d in enumerate(r.doc_ids) if d in want]
+                yield pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in got], "ids": [x for _, x in got]}, schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
+
+    found = manifest.filter(holds).select("path").mapInArrow(read, "doc_id long, ids binary")
+    return {r.doc_id: list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids)) for r in found.toLocalIterator()}
 
 
 def tokenize_to_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:

@@ -18,6 +18,8 @@ def test_every_perspective_and_parts(spark):
         text, mask, n = got.get(r.perspective, ("", [], 0))
         got[r.perspective] = (text + r.rendered, [*mask, r.mask], n + r.n_turns)
     assert set(got) == {"ann", "bob", "cat"}
+    joined = {r.perspective: (r.rendered, r.mask.split(","), r.n_turns) for r in chat.whole(chat.rotate_perspectives(df)).collect()}
+    assert joined == {k: (t, ",".join(m).split(","), n) for k, (t, m, n) in got.items()}
     for me, (text, mask, n) in got.items():
         want = render(turns, me)
         assert (text, ",".join(mask), n) == (*want, 130)

@@ -29,6 +29,16 @@ def test_samples_round_trip(n):
     assert got == p and info["streams"] == 2 and info["bad"] == 0
 
 
+@pytest.mark.parametrize("n_streams", [1, 2, 3, 5])
+def test_times_of_any_number_of_streams(n_streams):
+    p = os.urandom(576 * 6 + 100)
+    media = ogg.store_samples(p, n_streams=n_streams)
+    got, info = ogg.samples(media)
+    assert got == p and info["streams"] == n_streams
+    times = sorted(t for s in ogg.read_streams(media)[0].values() for t, _ in ogg.timed_frames(s, n_streams))
+    assert times == [576 * k for k in range(7)]
+
+
 def test_packets_over_page_ends_and_empty_packets():
     big = os.urandom(200_000)
     packets = [b"head", big, b"x" * 255, b"", b"y" * 510]
@@ -44,7 +54,7 @@ def test_damage_loses_one_page_only():
     media[at[3] + 300] ^= 1
     streams, bad = ogg.read_streams(bytes(media))
     assert bad >= 1 and sum(s.lost for s in streams.values()) == 1
-    kept = {t: f for s in streams.values() for t, f in ogg.timed_frames(s)}
+    kept = {t: f for s in streams.values() for t, f in ogg.timed_frames(s, 2)}
     assert len(kept) > 400 and all(p[t : t + 576] == f for t, f in kept.items())
     assert ogg.read_streams(b"junk") == ({}, 0) and ogg.read_streams(None) == ({}, 0) and ogg.read_streams(b"OggS")[1] == 1
 

@@ -57,6 +57,7 @@ def test_lookup_reads_single_frames_and_damage_is_found(spark, documents, tmp_pa
     out = new_path(spark, "t")
     m = tokenbin.write_shards(documents([(i, t) for i, t in enumerate(TEXTS)]), FILE, out)
     assert tokenbin.lookup(m, [7, 3]) == {k: [*whole(TEXTS[k]), 0] for k in (3, 7)}
+    assert tokenbin.lookup(m, []) == {} == tokenbin.lookup(m, [10**6]) and tokenbin.filesystem(out)[0].get_file_info(fs.FileSelector(tokenbin.filesystem(out)[1]))
     path = tokenbin.filesystem(m.first().path)[1]
     data = bytearray(open(path, "rb").read())
     data[12] ^= 255
