@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesselle.functions import geometry, pixels, rng, signals, stats
 from tesselle.operators import contours, drawing, graphs, matching, neighbours, objects, raster
+from tesselle.plans import solve as photo
 from tesselle.plans import views
 
 QUERIES: dict = {}
@@ -210,16 +211,9 @@ def _customer_supplier(spark, d, lines: DataFrame) -> DataFrame:
     return lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), (-(F.col("l_suppkey") + 1)).alias("b"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS u, -(l_suppkey + 1) AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND l_linenumber = 7),
-  b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), n AS (SELECT DISTINCT u FROM b),
-  r(node, comp) AS (SELECT u, u FROM n UNION SELECT b.v, r.comp FROM r JOIN b ON b.u = r.node WHERE r.comp < b.v)
-  SELECT node, min(comp) AS comp FROM r GROUP BY node""")
-def graph_components(spark, d):
-    return objects.graph_components(_customer_supplier(spark, d, views.table(spark, d, "lineitem").filter("l_quantity >= 50 and l_linenumber = 7")))
-
-
 @query()
-def graph_components_all(spark, d):
+def graph_components(spark, d):
+    """Customers and suppliers that line items join; no SQL, as recursion over all of them is too slow."""
     return objects.graph_components(_customer_supplier(spark, d, views.table(spark, d, "lineitem")))
 
 
@@ -248,8 +242,9 @@ def preview_values(spark, d):
 
 @query("SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY ALL")
 def percentiles(spark, d):
-    v = F.col("l_extendedprice")
-    return views.table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*[_r(stats.percentile(v, p), 4).alias(f"p{p}") for p in (25, 75, 99)])
+    by, ps = ["l_returnflag", "l_linestatus"], [25, 75, 99]
+    got = stats.percentiles(views.table(spark, d, "lineitem"), by, "l_extendedprice", ps)
+    return got.select(*by, *[_r(F.col(f"p{k}"), 4).alias(f"p{p}") for k, p in enumerate(ps)])
 
 
 @query("SELECT event_type, round(CASE WHEN m < 0 THEN m + 360 ELSE m END, 6) AS mean_angle FROM (SELECT event_type, degrees(atan2(sum(sin(radians(hour(ts) * 15))), sum(cos(radians(hour(ts) * 15))))) AS m FROM events GROUP BY event_type)")
@@ -318,21 +313,11 @@ def resample_signal(spark, d):
     return s.select("vec_id", F.posexplode("v").alias("i", "x")).select("vec_id", "i", (_r(F.col("x"), 5) + 0.0).alias("v"))
 
 
-@query("""WITH don AS (SELECT event_type, epoch_us(ts) AS t, value FROM events WHERE event_id % 3 = 0), sam AS (SELECT event_type, epoch_us(ts) AS t FROM events WHERE event_id % 3 = 1),
-  lo AS (SELECT sam.event_type, sam.t, don.t AS t0, don.value AS v0 FROM sam ASOF LEFT JOIN don ON sam.event_type = don.event_type AND sam.t >= don.t),
-  hi AS (SELECT lo.*, don.t AS t1, don.value AS v1 FROM lo ASOF LEFT JOIN don ON lo.event_type = don.event_type AND lo.t <= don.t)
-  SELECT event_type, t, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t1 = t0 THEN v0 ELSE (1 - (t - t0) / (t1 - t0)) * v0 + (t - t0) / (t1 - t0) * v1 END, 4) AS value FROM hi""")
-def asof_sample(spark, d):
-    e = views.table(spark, d, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value", "event_id")
-    got = signals.bracket(e.filter("event_id % 3 = 1"), e.filter("event_id % 3 = 0"), ["event_type"], "t", "value")
-    return got.select("event_type", "t", _r(F.col("value"), 4).alias("value"))
-
-
 @query("""WITH don AS (SELECT event_type, epoch_us(ts) AS t, value FROM events WHERE event_id % 2 = 0), sam AS (SELECT event_type, epoch_us(ts) AS t FROM events WHERE event_id % 2 <> 0),
   lo AS (SELECT sam.event_type, sam.t, don.t AS t0, don.value AS v0 FROM sam ASOF LEFT JOIN don ON sam.event_type = don.event_type AND sam.t >= don.t),
   hi AS (SELECT lo.*, don.t AS t1, don.value AS v1 FROM lo ASOF LEFT JOIN don ON lo.event_type = don.event_type AND lo.t <= don.t)
   SELECT event_type, t, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t1 = t0 THEN v0 ELSE (1 - (t - t0) / (t1 - t0)) * v0 + (t - t0) / (t1 - t0) * v1 END, 4) AS value FROM hi""")
-def asof_sample_all(spark, d):
+def asof_sample(spark, d):
     e = views.table(spark, d, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value", "event_id")
     got = signals.bracket(e.filter("event_id % 2 <> 0"), e.filter("event_id % 2 = 0"), ["event_type"], "t", "value")
     return got.select("event_type", "t", _r(F.col("value"), 4).alias("value"))
@@ -353,39 +338,39 @@ _PAIRS = """WITH s AS (SELECT vec_id, label, list_transform(embedding, lambda x:
   r AS (SELECT *, (row_number() OVER (PARTITION BY a, b ORDER BY dist, c, d) - 1)::INT AS rank FROM p)"""
 
 
-def _sides(spark, d) -> DataFrame:
+def _signals(spark, d) -> DataFrame:
     return views.signals(spark, d).select(F.lit(0).alias("image_id"), F.col("label").alias("obj_id"), F.col("vec_id").alias("side_id"), "v")
 
 
 @query(_PAIRS + " SELECT a, b, rank, c, d, round(dist, 6) AS dist FROM r WHERE rank < 10")
 def zncc_topk(spark: SparkSession, d: str) -> DataFrame:
-    m = matching.best_matches(_sides(spark, d), 10, ("v",))
+    m = matching.best_matches(_signals(spark, d), 10, ("v",))
     return m.select("a", "b", "rank", "c", "d", _r(F.col("dist")).alias("dist"))
 
 
 @query(_PAIRS + " SELECT a, b, c, d, round(dist, 6) AS dist FROM r WHERE rank = 0")
 def zncc_best(spark, d):
-    m = matching.best_matches(_sides(spark, d), 1, ("v",))
+    m = matching.best_matches(_signals(spark, d), 1, ("v",))
     return m.select("a", "b", "c", "d", _r(F.col("dist")).alias("dist"))
 
 
 # ---- points, random numbers ----
 
 
-@query("""WITH q AS (SELECT p_partkey AS qid, p_size + 0.25 AS x, p_retailprice AS y FROM part WHERE p_partkey % 20 = 0),
+@query("""WITH q AS (SELECT p_partkey AS qid, p_size + 0.25 AS x, p_retailprice AS y FROM part WHERE p_partkey % 50 = 0),
   n AS (SELECT qid, p_partkey AS id, (p_size - x) * (p_size - x) + (p_retailprice - y) * (p_retailprice - y) AS d2 FROM q, part)
   SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY d2, id) - 1)::INT AS rank, id, round(d2, 6) AS d2 FROM n QUALIFY rank < 8""")
 def knn_2d(spark, d):
     p = views.points(spark, d)
-    q = p.filter("id % 20 = 0").select(F.col("id").alias("qid"), (F.col("x") + 0.25).alias("x"), "y")
+    q = p.filter("id % 50 = 0").select(F.col("id").alias("qid"), (F.col("x") + 0.25).alias("x"), "y")
     return neighbours.knn_join(p, q, 8).select("qid", "rank", "id", _r(F.col("d2")).alias("d2"))
 
 
-@query("""WITH q AS (SELECT p_partkey AS qid, p_size + 0.25 AS x, p_retailprice + 0.125 AS y, 1.0 + p_partkey % 4 AS r FROM part WHERE p_partkey % 10 = 0)
+@query("""WITH q AS (SELECT p_partkey AS qid, p_size + 0.25 AS x, p_retailprice + 0.125 AS y, 1.0 + p_partkey % 4 AS r FROM part WHERE p_partkey % 50 = 0)
   SELECT qid, p_partkey AS id, round((p_size - x) * (p_size - x) + (p_retailprice - y) * (p_retailprice - y), 6) AS d2 FROM q JOIN part ON (p_size - x) * (p_size - x) + (p_retailprice - y) * (p_retailprice - y) <= r * r""")
 def radius_2d(spark, d):
     p = views.points(spark, d)
-    q = p.filter("id % 10 = 0").select(F.col("id").alias("qid"), (F.col("x") + 0.25).alias("x"), (F.col("y") + 0.125).alias("y"), (F.lit(1.0) + F.col("id") % 4).alias("radius"))
+    q = p.filter("id % 50 = 0").select(F.col("id").alias("qid"), (F.col("x") + 0.25).alias("x"), (F.col("y") + 0.125).alias("y"), (F.lit(1.0) + F.col("id") % 4).alias("radius"))
     return neighbours.radius_join(p, q).select("qid", "id", _r(F.col("d2")).alias("d2"))
 
 
@@ -427,22 +412,20 @@ def rng_float(spark, d):
 # ---- graphs and queues ----
 
 
-def _pruned(spark, d) -> DataFrame:
-    w = Window.partitionBy("src").orderBy(F.col("w").desc(), "dst")
-    return views.trade(spark, d).withColumn("n", F.row_number().over(w)).filter("n <= 2").select("src", "dst", "w")
+#: Nations of the cycles that ``short_cycles`` lists.
+CYCLE = 4
 
-
-_NET = views.TRADE + """, e AS (SELECT src, dst, w FROM net QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 2),
-  p(start, last, path, weight, closed) AS (
-    SELECT src, dst, CASE WHEN src = dst THEN [src] ELSE [src, dst] END, w, src = dst FROM e WHERE dst >= src
+_NET = views.TRADE + f""", p(start, last, path, weight, closed) AS (
+    SELECT src, dst, CASE WHEN src = dst THEN [src] ELSE [src, dst] END, w, src = dst FROM net WHERE dst >= src
     UNION ALL
-    SELECT start, dst, CASE WHEN dst = start THEN path ELSE list_append(path, dst) END, weight + w, dst = start FROM p JOIN e ON src = last
-    WHERE NOT closed AND (dst = start OR (dst > start AND NOT list_contains(path, dst))))"""
+    SELECT start, dst, CASE WHEN dst = start THEN path ELSE list_append(path, dst) END, weight + w, dst = start FROM p JOIN net ON src = last
+    WHERE NOT closed AND (dst = start OR (dst > start AND NOT list_contains(path, dst) AND len(path) < {CYCLE})))"""
 
 
 @query(f"WITH RECURSIVE {_NET} SELECT array_to_string(path, '-') AS path, weight FROM p WHERE closed")
-def all_cycles(spark, d):
-    return graphs.cycles_from(_pruned(spark, d)).select(F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), "weight")
+def short_cycles(spark, d):
+    """All cycles of up to CYCLE nations in the whole network."""
+    return graphs.cycles_from(views.trade(spark, d), CYCLE).select(F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), "weight")
 
 
 @query()
@@ -457,15 +440,8 @@ def queue_order(spark, d):
     return graphs.queue_order(e, ["event_type"]).select("event_type", "value", "priority", "pos")
 
 
-@query("SELECT event_id, list_filter([event_id % 5, event_id % 7, event_id % 11], lambda x: x % 2 = 0) AS evens, list_transform([event_id % 5, event_id % 7], lambda x: 'n' || x) AS names FROM events WHERE user_id < 20")
-def filter_map_vector(spark, d):
-    e = F.col("event_id")
-    v = F.array(e % 5, e % 7, e % 11)
-    return views.table(spark, d, "events").filter("user_id < 20").select("event_id", signals.filter_values(v, lambda x: x % 2 == 0).alias("evens"), signals.map_values(F.array(e % 5, e % 7), lambda x: F.concat(F.lit("n"), x.cast("string"))).alias("names"))
-
-
 @query("SELECT event_id, list_filter([event_id % 5, event_id % 7, event_id % 11], lambda x: x % 2 = 0) AS evens, list_transform([event_id % 5, event_id % 7], lambda x: 'n' || x) AS names FROM events")
-def filter_map_vector_all(spark, d):
+def filter_map_vector(spark, d):
     e = F.col("event_id")
     v = F.array(e % 5, e % 7, e % 11)
     return views.table(spark, d, "events").select("event_id", signals.filter_values(v, lambda x: x % 2 == 0).alias("evens"), signals.map_values(F.array(e % 5, e % 7), lambda x: F.concat(F.lit("n"), x.cast("string"))).alias("names"))
@@ -508,8 +484,7 @@ def circle_px(spark, d):
   SELECT image_id, y, x, CASE WHEN z IS NULL THEN v ELSE 255 - (z % 100)::INT END AS v FROM rast LEFT JOIN l USING (y, x)""")
 def overlay_px(spark, d):
     px = drawing.line_pixels(_lines(spark, d), ["id"])
-    every = F.explode(F.sequence(F.lit(0), F.lit(views.IMAGES - 1))).alias("image_id")
-    layers = px.select(every, "y", "x", F.col("id").alias("z"), (F.lit(255) - F.col("id") % 100).cast("int").alias("v"))
+    layers = px.crossJoin(F.broadcast(views.image_ids(spark, d))).select("image_id", "y", "x", F.col("id").alias("z"), (F.lit(255) - F.col("id") % 100).cast("int").alias("v"))
     return drawing.overlay(views.raster(spark, d), layers, ["v"])
 
 
@@ -541,24 +516,32 @@ def side_by_side(spark, d):
 # ---- outlines and the whole pipeline ----
 
 
-def _crops(spark, d) -> DataFrame:
-    r = views.raster(spark, d).select("image_id", "y", "x", F.col("v").alias("r"), (F.lit(255) - F.col("v")).alias("g"), F.col("x").alias("b"))
-    return objects.crops(r, views.blobs(spark, d).persist(), ["r", "g", "b"])
+def _sides(spark, d, samples: int = 40) -> DataFrame:
+    return contours.sides(objects.own_pixels(views.scenes(spark, d), views.scene_mask(spark, d), ["r", "g", "b"]), samples=samples)
 
 
-@query()
+@query(f"WITH {views.SIDES} SELECT image_id::BIGINT AS image_id, obj_id, side_id, any_value(n)::INT AS n_px, round(sum(lx) / any_value(n))::INT AS cx, round(sum(ly) / any_value(n))::INT AS cy FROM (SELECT DISTINCT image_id, obj_id, side_id, n, i, lx, ly FROM pc) GROUP BY ALL")
 def contour_sides(spark, d):
-    s = contours.sides(_crops(spark, d))
-    return s.select("image_id", "obj_id", "side_id", "n_px", "cx", "cy")
+    return _sides(spark, d).select("image_id", "obj_id", "side_id", "n_px", "cx", "cy")
 
 
-@query()
+@query(f"WITH {views.samples_sql(10)} SELECT image_id::BIGINT AS image_id, obj_id, side_id, string_agg(u::VARCHAR, ',' ORDER BY k) AS reds FROM smp WHERE c = 0 GROUP BY ALL")
 def sample_sides(spark, d):
-    s = contours.sides(_crops(spark, d), samples=10)
+    s = _sides(spark, d, 10)
     return s.select("image_id", "obj_id", "side_id", F.array_join(F.col("r").cast("array<string>"), ",").alias("reds"))
 
 
-@query()
+@query(f"""WITH {views.samples_sql(40)}, sv AS (SELECT image_id, obj_id, side_id, c, list(u::DOUBLE ORDER BY k) AS v FROM smp GROUP BY ALL),
+  z AS (SELECT * EXCLUDE v, list_transform(v, lambda x: (x - list_avg(v)) / sqrt(list_sum(list_transform(v, lambda y: (y - list_avg(v)) * (y - list_avg(v)))))) AS v FROM sv),
+  pair AS (SELECT a.image_id, a.obj_id AS a, a.side_id AS b, e.obj_id AS c, e.side_id AS d, 1 - sum(least(greatest(list_dot_product(a.v, list_reverse(e.v)), -1), 1)) / 3 AS dist
+    FROM z a JOIN z e ON a.image_id = e.image_id AND a.c = e.c AND a.obj_id <> e.obj_id GROUP BY ALL)
+  SELECT image_id::BIGINT AS image_id, a::BIGINT AS a, b::BIGINT AS b, (row_number() OVER (PARTITION BY image_id, a, b ORDER BY dist, c, d) - 1)::INT AS rank, c::BIGINT AS c, d::BIGINT AS d, round(dist, 6) AS dist FROM pair QUALIFY rank < 10""")
 def match_sides(spark, d):
-    s = contours.sides(_crops(spark, d))
-    return matching.best_matches(s, 10).select("image_id", "a", "b", "rank", "c", "d", _r(F.col("dist")).alias("dist"))
+    return matching.best_matches(_sides(spark, d), 10).select("image_id", "a", "b", "rank", "c", "d", _r(F.col("dist")).alias("dist"))
+
+
+@query()
+def solve(spark, d):
+    """The whole chain from pixels to ranked matches; tested against a plain version."""
+    colours = views.photos(spark, d)
+    return photo.solve(colours, photo.Params(downscale=2.0, grow=1, shrink=2, samples=20)).select("image_id", "a", "b", "rank", "c", "d", _r(F.col("dist")).alias("dist"))

@@ -22,12 +22,12 @@ def test_graph_components_of_all_line_items(spark):
     least: dict[int, int] = {}
     for v in nodes:
         least.setdefault(sets.find(at[v]), v)
-    got = {r.node: r.comp for r in catalog.QUERIES["graph_components_all"](spark, DATA).collect()}
+    got = {r.node: r.comp for r in catalog.QUERIES["graph_components"](spark, DATA).collect()}
     assert got == {v: least[sets.find(at[v])] for v in nodes}
 
 
 def test_every_event_is_mapped(spark):
-    got = {r.event_id: (list(r.evens), list(r.names)) for r in catalog.QUERIES["filter_map_vector_all"](spark, DATA).collect()}
+    got = {r.event_id: (list(r.evens), list(r.names)) for r in catalog.QUERIES["filter_map_vector"](spark, DATA).collect()}
     ids = [r.event_id for r in views.table(spark, DATA, "events").select("event_id").collect()]
     assert got == {i: ([x for x in (i % 5, i % 7, i % 11) if x % 2 == 0], [f"n{i % 5}", f"n{i % 7}"]) for i in ids}
 
@@ -42,7 +42,7 @@ def test_every_event_is_donor_or_sample(spark):
         if i % 2:
             (t0, v0), (t1, v1) = max((x for x in donors[kind] if x[0] <= t), default=(None, None)), min((x for x in donors[kind] if x[0] >= t), default=(None, None))
             want.append((kind, t, v1 if t0 is None else v0 if t1 in (None, t0) else v0 + (v1 - v0) * (t - t0) / (t1 - t0)))
-    got = sorted((r.event_type, r.t, r.value) for r in catalog.QUERIES["asof_sample_all"](spark, DATA).collect())
+    got = sorted((r.event_type, r.t, r.value) for r in catalog.QUERIES["asof_sample"](spark, DATA).collect())
     assert len(got) == len(want) == len(rows) - sum(map(len, donors.values()))
     assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4 for a, b in zip(got, sorted(want)))
 
