@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselle.functions import pixels as px
 from tesselle.functions import rng
 
 
@@ -38,9 +39,9 @@ def thicken(pixels: DataFrame, thickness: int, width: int | None = None, height:
     return out
 
 
-def circle_pixels(circles: DataFrame, keep: list[str]) -> DataFrame:
+def circle_pixels(circles: DataFrame, keep: list[str], radius: str = "r", thickness: str = "t") -> DataFrame:
     """``keep`` with (x, y): rings of circles (cx, cy, r, t), radii r - t to r + t, both included."""
-    outer, inner = (F.col("r") + F.col("t")).cast("int"), F.greatest(F.lit(0), F.col("r") - F.col("t")).cast("int")
+    outer, inner = (F.col(radius) + F.col(thickness)).cast("int"), F.greatest(F.lit(0), F.col(radius) - F.col(thickness)).cast("int")
     c = circles.withColumn("__dx", F.explode(F.sequence(-outer, outer))).withColumn("__dy", F.explode(F.sequence(-outer, outer)))
     d2 = F.col("__dx") * F.col("__dx") + F.col("__dy") * F.col("__dy")
     return c.filter((d2 <= outer * outer) & (d2 >= inner * inner)).select(*keep, (F.col("cx") + F.col("__dx")).alias("x"), (F.col("cy") + F.col("__dy")).alias("y"))
@@ -71,6 +72,72 @@ def colours(df: DataFrame, number: str, seed: int) -> DataFrame:
     return out.select(*df.columns, *[F.element_at("__c", i).bitwiseAND(F.lit(255)).cast("int").alias(n) for i, n in ((1, "r"), (2, "g"), (3, "b"))])
 
 
+def byte_colours(df: DataFrame, number: str, seed: int | Column = rng.DEFAULT_SEED) -> DataFrame:
+    """``df`` with r, g, b: the three low bytes of the draw that each number from 0 has in the seed's stream; seed 0 is the default."""
+    seed = F.lit(seed if seed else rng.DEFAULT_SEED) if isinstance(seed, int) else seed
+    one = F.element_at(rng.draws(rng.skip(rng.mix_seed(seed), F.col(number).cast("long"), 24), 1), 1)
+    out = df.withColumn("__c", one)
+    return out.select(*df.columns, *[F.shiftright("__c", 8 * i).bitwiseAND(F.lit(255)).cast("int").alias(n) for i, n in enumerate("rgb")])
+
+
+def signed_view(pixels: DataFrame, value: str = "v") -> DataFrame:
+    """Signed values on 0..255 by each image's largest magnitude, zero in the middle."""
+    top = pixels.groupBy("image_id").agg(F.max(F.abs(value)).alias("__top"))
+    return pixels.join(top, "image_id").select("image_id", "y", "x", px.signed_u8(F.col(value).cast("double"), F.col("__top")).alias(value))
+
+
+def angle_view(gradients: DataFrame) -> DataFrame:
+    """(image_id, y, x, r, g, b): direction as hue, magnitude by the image's largest one as brightness."""
+    top = gradients.groupBy("image_id").agg(F.max("mag").alias("__top"))
+    light = F.least(F.greatest(F.col("mag") / F.when(F.col("__top") < 1e-6, 1.0).otherwise(F.col("__top")), F.lit(0.0)), F.lit(1.0))
+    rgb = px.hue_rgb(px.wrap_degrees(F.col("angle")), light)
+    return gradients.join(top, "image_id").select("image_id", "y", "x", *[c.alias(n) for n, c in zip("rgb", rgb)])
+
+
+def arrow_lines(gradients: DataFrame, least: float, stride: int, length: float) -> DataFrame:
+    """(image_id, x0, y0, x1, y1): a line along the gradient at every ``stride``-th place where its magnitude exceeds ``least``."""
+    step = max(1, stride)
+    size = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    at = gradients.filter((F.col("y") % step == 0) & (F.col("x") % step == 0) & (F.col("mag") > least) & (size >= 1e-6))
+    return at.select("image_id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.round(F.col("x") + length * F.col("dx") / size).cast("int").alias("x1"), F.round(F.col("y") + length * F.col("dy") / size).cast("int").alias("y1"))
+
+
+def frame_pixels(rects: DataFrame, keep: list[str], thickness: int) -> DataFrame:
+    """``keep`` with (x, y): ``thickness`` nested outlines of rectangles, each one pixel further out."""
+    nested = rects.withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(max(1, thickness) - 1))))
+    nested = nested.select(*keep, *[(F.col(c) + F.col("__t") * sign).alias(c) for c, sign in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))])
+    return rectangle_pixels(nested, keep)
+
+
+def segment_layers(segments: DataFrame, seed: int, thickness: int = 1, radius: int = 3, ring: int = 1) -> DataFrame:
+    """(image_id, y, x, z, r, g, b): each numbered segment (image_id, k, x0, y0, x1, y1) as a line with a ring at its start, in a colour of its own."""
+    s = byte_colours(segments.select("image_id", "k", "x0", "y0", "x1", "y1"), "k", seed)
+    lines = thicken(line_pixels(s, ["image_id", "k", "r", "g", "b"]), thickness)
+    rings = circle_pixels(s.select("image_id", "k", "r", "g", "b", F.col("x0").alias("cx"), F.col("y0").alias("cy"), F.lit(radius).alias("__r"), F.lit(ring).alias("__t")), ["image_id", "k", "r", "g", "b"], "__r", "__t")
+    z = F.col("k") * 2
+    return lines.select("image_id", "y", "x", z.alias("z"), "r", "g", "b").union(rings.select("image_id", "y", "x", (z + 1).alias("z"), "r", "g", "b"))
+
+
+def red_links(segments: DataFrame, links: DataFrame, thickness: int = 1) -> DataFrame:
+    """(image_id, y, x, r, g, b): red lines from the end of segment ``k`` to the start of ``to_start``, and from its start to
+    the end of ``to_end``, by (image_id, k, to_start, to_end); null or negative numbers link to nothing."""
+    s = segments.select("image_id", "k", "x0", "y0", "x1", "y1")
+
+    def lines(other: str, mine: tuple[str, str], theirs: tuple[str, str]) -> DataFrame:
+        to = s.select("image_id", F.col("k").alias(other), F.col(theirs[0]).alias("__x"), F.col(theirs[1]).alias("__y"))
+        got = links.select("image_id", "k", other).join(s, ["image_id", "k"]).join(to, ["image_id", other])
+        return got.select("image_id", F.col(mine[0]).alias("x0"), F.col(mine[1]).alias("y0"), F.col("__x").alias("x1"), F.col("__y").alias("y1"))
+
+    every = lines("to_start", ("x1", "y1"), ("x0", "y0")).union(lines("to_end", ("x0", "y0"), ("x1", "y1")))
+    px_ = thicken(line_pixels(every, ["image_id"]), thickness).select("image_id", "y", "x").distinct()
+    return px_.select("image_id", "y", "x", F.lit(255).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
+
+
+def mask_points(points: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, y, x): the distinct points of a mask that lie in an image of that size."""
+    return points.filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < width) & (F.col("y") < height)).select("image_id", "y", "x").distinct()
+
+
 def label_colours(labels: DataFrame, seed: int = 0, void: int | None = None, label: str = "comp") -> DataFrame:
     """(image_id, y, x, r, g, b): a random colour for each label, numbered by its first pixel in reading order; ``void`` is black."""
     kept = labels if void is None else labels.filter(F.col(label) != void)

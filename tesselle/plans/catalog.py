@@ -532,8 +532,10 @@ def sample_sides(spark, d):
 
 
 @query(f"""WITH {views.samples_sql(40)}, sv AS (SELECT image_id, obj_id, side_id, c, list(u::DOUBLE ORDER BY k) AS v FROM smp GROUP BY ALL),
-  z AS (SELECT * EXCLUDE v, list_transform(v, lambda x: (x - list_avg(v)) / sqrt(list_sum(list_transform(v, lambda y: (y - list_avg(v)) * (y - list_avg(v)))))) AS v FROM sv),
-  pair AS (SELECT a.image_id, a.obj_id AS a, a.side_id AS b, e.obj_id AS c, e.side_id AS d, 1 - sum(least(greatest(list_dot_product(a.v, list_reverse(e.v)), -1), 1)) / 3 AS dist
+  zm AS (SELECT *, list_avg(v) AS mean, list_sum(list_transform(v, lambda y: (y - list_avg(v)) * (y - list_avg(v)))) AS sq FROM sv),
+  z AS (SELECT * EXCLUDE v, list_transform(v, lambda x: (x - mean) / CASE WHEN sq < 1e-12 THEN 1 ELSE sqrt(sq) END) AS v FROM zm),
+  pair AS (SELECT a.image_id, a.obj_id AS a, a.side_id AS b, e.obj_id AS c, e.side_id AS d,
+      1 - sum(CASE WHEN least(a.sq, e.sq) < 1e-12 THEN CASE WHEN abs(a.mean - e.mean) < 1e-6 THEN 1 ELSE 0 END ELSE least(greatest(list_dot_product(a.v, list_reverse(e.v)), -1), 1) END) / 3 AS dist
     FROM z a JOIN z e ON a.image_id = e.image_id AND a.c = e.c AND a.obj_id <> e.obj_id GROUP BY ALL)
   SELECT image_id::BIGINT AS image_id, a::BIGINT AS a, b::BIGINT AS b, (row_number() OVER (PARTITION BY image_id, a, b ORDER BY dist, c, d) - 1)::INT AS rank, c::BIGINT AS c, d::BIGINT AS d, round(dist, 6) AS dist FROM pair QUALIFY rank < 10""")
 def match_sides(spark, d):

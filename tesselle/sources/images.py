@@ -1,4 +1,4 @@
-"""Images in and out: PNG and JPEG files as pixel tables, pixel tables as PNG files."""
+"""Images in and out: PNG and JPEG files as pixel tables, pixel tables as PNG and JPEG files."""
 
 from __future__ import annotations
 
@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from tesselle.functions import stats
+from tesselle.operators import drawing
+from tesselle.sources.jpeg import jpeg
+
 PIXELS = "image_id long, y int, x int, r int, g int, b int, a int"
 
 
@@ -25,12 +29,19 @@ def rgba(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
     return out
 
 
-def load_images(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, origin, width, height, nChannels, data) of PNG and JPEG files; unreadable files are left out.
+def load_images(spark: SparkSession, path: str, skip_bad: bool = False) -> DataFrame:
+    """(image_id, origin, width, height, nChannels, data) of PNG and JPEG files.
 
-    The id is a hash of the file's name, so it does not depend on which other files there are.
+    A path without files is an error, and so is a file that is no picture, when its row is read; with
+    ``skip_bad`` such files are left out. The id is a hash of the file's name, so it does not depend on
+    which other files there are.
     """
-    return with_id(spark.read.format("image").option("dropInvalid", True).load(path))
+    read = spark.read.format("image").option("dropInvalid", skip_bad).load(path)
+    if skip_bad:
+        return with_id(read)
+    bad = F.raise_error(F.concat(F.lit("not a picture: "), F.col("image.origin"))).cast("binary")
+    fields = [F.when(F.col("image.nChannels") > 0, F.col("image.data")).otherwise(bad).alias("data") if f == "data" else F.col(f"image.{f}") for f in ("origin", "height", "width", "nChannels", "mode", "data")]
+    return with_id(read.select(F.struct(*fields).alias("image")))
 
 
 def with_id(images: DataFrame) -> DataFrame:
@@ -69,64 +80,95 @@ def png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
-def pack_png(pixels: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
-    """(image_id, png): each dense image as PNG bytes, packed one image at a time."""
+def encoded(pixels: np.ndarray, kind: str = "png", quality: int = 95) -> bytes:
+    """A picture file's bytes by type: png, or jpg or jpeg with a quality of 1 to 100; other types are an error."""
+    if kind.lower() == "png":
+        return png(pixels)
+    if kind.lower() in ("jpg", "jpeg"):
+        return jpeg(pixels, quality)
+    raise ValueError(f"cannot write images of type {kind}")
+
+
+def packed(pixels: DataFrame, by: str = "image_id", channels: tuple[str, ...] = ("r", "g", "b"), kind: str = "png", quality: int = 95) -> DataFrame:
+    """(``by``, data): each picture's file, packed one picture at a time; places without a row are 0.
+
+    Values are clamped to 0..255. Pictures have as many rows and columns as their largest places tell.
+    """
     import pandas as pd
 
+    encoded(np.zeros((1, 1), np.uint8), kind, quality)
+
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         h, w = int(pdf.y.max()) + 1, int(pdf.x.max()) + 1
         out = np.zeros((h, w, len(channels)), np.uint8)
         out[pdf.y, pdf.x] = pdf[list(channels)].to_numpy()
-        return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]], "png": [png(out[:, :, 0] if len(channels) == 1 else out)]})
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "data": [encoded(out[:, :, 0] if len(channels) == 1 else out, kind, quality)]})
 
     cast = [F.least(F.greatest(F.col(c), F.lit(0)), F.lit(255)).cast("int").alias(c) for c in channels]
-    return pixels.select(F.col("image_id").cast("long").alias("image_id"), "y", "x", *cast).groupBy("image_id").applyInPandas(pack, "image_id long, png binary")
+    rows = pixels.select(by, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *cast)
+    return rows.groupBy(by).applyInPandas(pack, f"`{by}` {rows.schema[by].dataType.simpleString()}, data binary")
 
 
-class PngSink(DataSource):
-    """``df.write.format("png").option("path", ...)``: rows (name string, png binary) become files.
+class PictureSink(DataSource):
+    """``df.write.format("pictures").option("path", ...)``: rows (name string, data binary) become files.
 
-    The path may be any URI the Arrow file systems know. Names may hold folders; a task writes under a
-    draft name and renames, so a repeated attempt leaves whole files.
+    The path may be any URI the Arrow file systems know. Names may hold folders, which are made; a task
+    writes under a draft name and renames, so a repeated attempt leaves whole files. Mode ``append``
+    replaces files of the same name and leaves others, ``overwrite`` empties the path first.
     """
 
     @classmethod
     def name(cls) -> str:
-        return "png"
+        return "pictures"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _PngWriter(self.options["path"])
+        return _PictureWriter(self.options["path"], overwrite)
 
 
-class _PngWriter(DataSourceWriter):
-    def __init__(self, path: str):
+class _PictureWriter(DataSourceWriter):
+    def __init__(self, path: str, overwrite: bool):
         self.path = path
+        if overwrite:  # on the driver, before any task writes
+            from pyarrow import fs
 
-    def write(self, rows) -> WriterCommitMessage:
-        import uuid
+            target, base = self._target()
+            if target.get_file_info(base).type == fs.FileType.Directory:
+                target.delete_dir_contents(base)
 
+    def _target(self):
         from pyarrow import fs
 
-        target, base = fs.FileSystem.from_uri(self.path if ":" in self.path else f"file://{self.path}")
+        return fs.FileSystem.from_uri(self.path if ":" in self.path else f"file://{self.path}")
+
+    def write(self, rows) -> WriterCommitMessage:
+        import uuid
+
+        target, base = self._target()
         for row in rows:
             name = f"{base}/{row['name']}"
             target.create_dir(name.rsplit("/", 1)[0], recursive=True)
             draft = f"{name}.{uuid.uuid4().hex}"
             with target.open_output_stream(draft) as f:
-                f.write(bytes(row["png"]))
+                f.write(bytes(row["data"]))
             target.move(draft, name)
         return WriterCommitMessage()
 
 
-def save_png(packed: DataFrame, path: str, name=None) -> None:
-    """Write packed images under ``path``, by default as NNNN.png by image_id."""
-    packed.sparkSession.dataSource.register(PngSink)
-    file = name if name is not None else F.concat(F.format_string("%04d", F.col("image_id")), F.lit(".png"))
-    packed.select(file.alias("name"), "png").write.format("png").mode("append").option("path", path).save()
+def save_files(files: DataFrame, path: str, mode: str = "append") -> None:
+    """Write (name, data) as files under ``path``; mode ``append`` or ``overwrite``."""
+    files.sparkSession.dataSource.register(PictureSink)
+    files.select("name", "data").write.format("pictures").mode(mode).option("path", path).save()
+
+
+def save_images(pixels: DataFrame, path: str, kind: str = "png", quality: int = 95, channels: tuple[str, ...] = ("r", "g", "b"), mode: str = "append") -> None:
+    """Write each image of a pixel table as NNNN.<kind>, by its id."""
+    name = F.concat(F.format_string("%04d", F.col("image_id")), F.lit(f".{kind.lower()}"))
+    save_files(packed(pixels, "image_id", channels, kind, quality).select(name.alias("name"), "data"), path, mode)
 
 
-def save_images(packed: DataFrame, path: str, kind: str = "png") -> None:
-    """Write by file type: png; other types are an error."""
-    if kind.lower() != "png":
-        raise ValueError(f"cannot write images of type {kind}")
-    save_png(packed, path)
+def save_signed(pixels: DataFrame, path: str, value: str = "v", **how) -> None:
+    """Write images of any numbers: between their least and largest value where there is a negative one, else by the largest."""
+    ends = stats.image_extent(pixels, value).select("image_id", (F.coalesce("lo", F.lit(0.0)) < 0).alias("__signed"))
+    own = pixels.select("image_id", "y", "x", value).join(ends, "image_id")
+    shown = drawing.scale_min_max(own.filter("__signed"), value).union(drawing.scale_by_max(own.filter(~F.col("__signed")), value))
+    save_images(shown, path, channels=(value,), **how)

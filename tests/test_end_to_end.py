@@ -23,7 +23,7 @@ def test_png_round_trip_and_matches(spark, tmp_path):
     p = pixels(spark, [a[:, :, 0].astype(int)]).withColumnRenamed("v", "r")
     for c, n in ((1, "g"), (2, "b")):
         p = p.join(pixels(spark, [a[:, :, c].astype(int)]).withColumnRenamed("v", n), ["image_id", "y", "x"])
-    images.save_images(images.pack_png(p), str(tmp_path / "in"))
+    images.save_images(p, str(tmp_path / "in"))
     assert (tmp_path / "in" / "0000.png").exists()
     back = images.to_pixels(images.load_images(spark, str(tmp_path / "in"))).drop("a").persist()
     assert back.count() == 100 * 170
