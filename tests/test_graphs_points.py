@@ -103,3 +103,46 @@ def test_cycle_search_equals_enumeration():
         n = int(r.integers(1, 7))
         w = np.where(r.random((n, n)) < r.choice([0.3, 0.6, 1]), r.integers(0, r.choice([1, 2, 5, 50]), (n, n)).astype(float), -np.inf)
         assert graphs.CycleSearch(w).best() == plain_best(w)
+
+
+def nearest(points, queries, k):
+    out = {}
+    for q, x, y in queries:
+        got = sorted(((a - x) ** 2 + (b - y) ** 2, i) for i, a, b in points if a is not None and b is not None and a == a and abs(a) != float("inf"))
+        out |= {(q, n): i for n, (_, i) in enumerate(got[:k])}
+    return out
+
+
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e9])
+def test_neighbours_at_every_scale(spark, scale):
+    r = np.random.default_rng(3)
+    xy = np.concatenate([r.normal(size=(150, 2)), r.normal(size=(100, 2)) * 1e-4 + 2, np.repeat([[5.0, 5.0]], 40, axis=0), [[900.0, -900.0]]]) * scale
+    points = [(i, float(a), float(b)) for i, (a, b) in enumerate(xy)] + [(1000, None, 1.0), (1001, float("nan"), 1.0), (1002, float("inf"), 1.0)]
+    queries = [(i, float(a * 1.01), float(b)) for i, (a, b) in enumerate(xy[::9])] + [(500, 1e5 * scale, 1e5 * scale), (501, 5.0 * scale, 5.0 * scale)]
+    p = spark.createDataFrame(points, "id long, x double, y double")
+    q = spark.createDataFrame([*queries, (999, None, 0.0)], "qid long, x double, y double")
+    for k in (1, 7, 400):
+        got = {(x.qid, x["rank"]): x.id for x in neighbours.knn_join(p, q, k).collect()}
+        assert got == nearest(points, queries, k)
+
+
+def test_neighbours_far_apart_and_few(spark):
+    p = spark.createDataFrame([(i, i * 1e9, 0.0) for i in range(3)], "id long, x double, y double")
+    q = spark.createDataFrame([(1, 5e8, 0.0)], "qid long, x double, y double")
+    for k in (2, 5):
+        assert [(r["rank"], r.id) for r in neighbours.knn_join(p, q, k).orderBy("rank").collect()] == [(0, 0), (1, 1), (2, 2)][:k]
+    one = p.filter("id = 0")
+    assert [r.id for r in neighbours.knn_join(one, q, 3).collect()] == [0] and neighbours.knn_join(one.limit(0), q, 3).count() == 0 and neighbours.knn_join(p, q.limit(0), 3).count() == 0
+    assert neighbours.knn_join(p, q, 0).count() == 0
+    for bad in ({"k": -1}, {"k": 1, "eps": -1.0}, {"k": 1, "most_visited": -1}):
+        with pytest.raises(ValueError):
+            neighbours.knn_join(p, q, **bad)
+
+
+def test_radii_of_every_size(spark):
+    r = np.random.default_rng(8)
+    xy = r.normal(size=(200, 2)) * 50
+    p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "id long, x double, y double")
+    queries = [(k, float(a), float(b), float(s)) for k, ((a, b), s) in enumerate(zip(xy[::10], [0.0, 1e-7, 0.4, 3.0, 17.0, 64.0, 90.0, 400.0, -1.0] * 3))]
+    got = {(x.qid, x.id) for x in neighbours.radius_join(p, spark.createDataFrame(queries, "qid long, x double, y double, radius double")).collect()}
+    assert got == {(k, i) for k, a, b, s in queries if s >= 0 for i, (x, y) in enumerate(xy) if (x - a) ** 2 + (y - b) ** 2 <= s * s}

@@ -9,54 +9,98 @@ def model(seed, n):
     return [g.u32() for _ in range(n)]
 
 
-def test_rng_matches_integer_model_and_known_draws(spark):
-    seeds = [123, 239, 0, 2**32 - 1, 0x61C88647]
+def test_rng_matches_integer_model(spark):
+    seeds = [11, rng.DEFAULT_SEED, 0, 2**32 - 1, 2**32 - rng.MIX_ADD]
     df = spark.createDataFrame([(s,) for s in seeds], "s long")
     got = {}
     for r in rng.stream(df, "s", 130).collect():
         got.setdefault(r.s, {})[r.i] = r.u32
     for s in seeds:
         assert [got[s][i] for i in range(130)] == model(s, 130)
-    assert model(123, 2) == [121505104, 890811866] and model(0x61C88647, 2) == [0, 0]
+    assert model(2**32 - rng.MIX_ADD, 3) == [0, 0, 0]  # the one seed that mixes to zero
 
 
 def test_rng_ranges(spark):
-    df = rng.stream(spark.createDataFrame([(314159,)], "s long"), "s", 2000)
-    r = df.agg(F.min(rng.unit_float(F.col("u32"))).alias("a"), F.max(rng.unit_float(F.col("u32"))).alias("b"), F.min(rng.int_between(F.col("u32"), 3, -3)).alias("c"), F.max(rng.int_between(F.col("u32"), 3, -3)).alias("d"), F.countDistinct("u32").alias("n")).first()
-    assert 0 <= r.a and r.b < 1 and (r.c, r.d) == (-3, 3) and r.n > 1990
-    one = df.select(rng.int_between(F.col("u32"), 5, 5).alias("x")).distinct().collect()
-    assert [x.x for x in one] == [5]
+    df = rng.stream(spark.createDataFrame([(7654321,)], "s long"), "s", 1500)
+    u = F.col("u32")
+    r = df.agg(F.min(rng.unit_float(u)).alias("lo"), F.max(rng.unit_float(u)).alias("hi"), F.min(rng.int_between(u, 9, 4)).alias("a"), F.max(rng.int_between(u, 9, 4)).alias("b"), F.countDistinct("u32").alias("n")).first()
+    draws = model(7654321, 1500)
+    assert (r.lo, r.hi) == (min(draws) // 256 / 2**24, max(d // 256 for d in draws) / 2**24) and (r.a, r.b, r.n) == (4, 9, len(set(draws)))
+    assert [x.v for x in df.orderBy("i").select(rng.int_between(u, 4, 9).alias("v")).collect()] == [4 + (d * 6 >> 32) for d in draws]
+    assert [x.v for x in df.select(rng.int_between(u, -8, -8).alias("v")).distinct().collect()] == [-8]
+
+
+def quantile(v, p):
+    """By hand: the value at place p / 100 * (n - 1) of the sorted values, in between by proportion."""
+    v = sorted(v)
+    at = p / 100 * (len(v) - 1)
+    k = int(at)
+    return v[k] + (at - k) * (v[min(k + 1, len(v) - 1)] - v[k])
 
 
 def test_summaries(spark):
-    ints = spark.createDataFrame([("a", i) for i in range(1, 21)], "k string, v int")
-    assert stats.summary(ints, ["k"], "v").first().text == "20 values - (min=1 10%=2.9 median=10.5 90%=18.1 max=20)"
-    assert stats.summary(ints, ["k"], "v", 2).first().text == "20 values - (min=1.00 10%=2.90 median=10.50 90%=18.10 max=20.00)"
-    four = spark.createDataFrame([("a", x / 10) for x in range(1, 5)], "k string, v double")
-    assert stats.summary(four, ["k"], "v", 3).first().text == "4 values - (min=0.100 10%=0.130 median=0.250 90%=0.370 max=0.400)"
-    assert stats.summary(four.select("k", F.lit(None).cast("double").alias("v")), ["k"], "v").first().text == "0 values - (empty)"
-    with pytest.raises(ValueError):
-        stats.percentile(F.col("v"), 101)
+    odd = [7, -2, 40, 13, 13, 5, 22]  # sorted: -2 5 7 13 13 22 40
+    df = spark.createDataFrame([("a", v) for v in odd] + [("b", None)], "k string, v int")
+    got = {r.k: r.text for r in stats.summary(df, ["k"], "v").collect()}
+    assert got == {"a": "7 values - (min=-2 10%=2.2 median=13 90%=29.2 max=40)", "b": "0 values - (empty)"}
+    halves = spark.createDataFrame([("a", x) for x in (-0.001, 2.5, 0.25, 1.125)], "k string, v double")
+    assert stats.summary(halves, ["k"], "v", 2).first().text == "4 values - (min=0 10%=0.07 median=0.69 90%=2.09 max=2.50)"
+    for bad in (-0.1, 100.5):
+        with pytest.raises(ValueError):
+            stats.percentile(F.col("v"), bad)
+
+
+def test_percentiles_of_large_groups(spark, monkeypatch):
+    """Bracketed by a sketch: ties, a hot group, nulls in keys and values, one row."""
+    monkeypatch.setattr(stats, "ALL_ROWS", 50)
+    monkeypatch.setattr(stats, "ACCURACY", 100)
+    import random
+
+    r = random.Random(2)
+    rows = [("hot", float(r.randrange(40))) for _ in range(3000)] + [("wide", r.gauss(0, 1e6)) for _ in range(2000)] + [(None, float(k)) for k in range(120)] + [("one", 4.5), ("one", None), ("none", None)]
+    rows += [("same", 3.0)] * 500
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    ps = [0, 1, 33.3, 50, 99.9, 100]
+    got = {x.k: x for x in stats.percentiles(df, ["k"], "v", ps).collect()}
+    assert set(got) == {"hot", "wide", None, "one", "same"}
+    for k, x in got.items():
+        own = [v for g, v in rows if g == k and v is not None]
+        assert x.n == len(own) and (x.v_min, x.v_max) == (min(own), max(own))
+        assert all(abs(x[f"p{j}"] - quantile(own, p)) <= 1e-9 * max(1, abs(quantile(own, p))) for j, p in enumerate(ps))
+    all_ = [v for _, v in rows if v is not None]
+    assert abs(stats.percentiles(df, [], "v", [75]).first().p0 - quantile(all_, 75)) < 1e-9
+
+
+def test_required_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None)], "k string, v double")
+    least = stats.required(F.min("v"), F.count("v"), "minimum")
+    assert df.agg(least.alias("m")).first().m == 1.0
+    with pytest.raises(Exception, match="minimum of no values"):
+        df.filter("v is null").agg(least.alias("m")).collect()
 
 
 def test_previews(spark):
-    df = spark.createDataFrame([("a", i) for i in range(1, 11)] + [("b", i) for i in range(1, 13)], "k string, v int")
+    df = spark.createDataFrame([("ten", 3 * i) for i in range(10)] + [("eleven", 100 - i) for i in range(11)] + [("one", 6), (None, 8)], "k string, v int")
     got = {r.k: r.text for r in stats.preview(df, ["k"], "v", ["v"]).collect()}
-    assert got["a"] == "10 values - [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]"
-    assert got["b"] == "12 values - [1, 2, 3, 4, 5, ... 8, 9, 10, 11, 12]"
+    assert got["ten"] == "10 values - [0, 3, 6, 9, 12, 15, 18, 21, 24, 27]"
+    assert got["eleven"] == "11 values - [90, 91, 92, 93, 94, ... 96, 97, 98, 99, 100]"
+    assert got["one"] == "1 values - [6]" and got[None] == "1 values - [8]"
 
 
 def test_points(spark):
-    df = spark.createDataFrame([((1, 2), (10, -5), (3, 4))], "p struct<x:int,y:int>, q struct<x:int,y:int>, r struct<x:int,y:int>")
+    df = spark.createDataFrame([((-7, 4), (2, 9), (5, -12))], "p struct<x:int,y:int>, q struct<x:int,y:int>, r struct<x:int,y:int>")
     p, q, r = F.col("p"), F.col("q"), F.col("r")
-    got = df.select(geometry.add(p, q).alias("a"), geometry.dot(p, r).alias("d"), geometry.text(p).alias("t"), geometry.divide(r, F.lit(2), True).alias("h"), geometry.normalized(r).alias("n")).first()
-    assert tuple(got.a) == (11, -3) and got.d == 11 and got.t == "(1, 2)" and tuple(got.h) == (1, 2) and abs(got.n.x - 0.6) < 1e-12
-    big = spark.createDataFrame([((46341, 0),)], "p struct<x:int,y:int>")
+    got = df.select(geometry.add(p, q).alias("a"), geometry.subtract(p, q).alias("s"), geometry.scale(p, F.lit(3)).alias("k"), geometry.dot(p, r).alias("d"), geometry.text(p).alias("t"), geometry.divide(p, F.lit(3), True).alias("h"), geometry.length(r).alias("l"), geometry.normalized(r).alias("n")).first()
+    assert (tuple(got.a), tuple(got.s), tuple(got.k)) == ((-5, 13), (-9, -5), (-21, 12))
+    assert (got.d, got.t, tuple(got.h), got.l) == (-83, "(-7, 4)", (-2, 1), 13.0) and abs(got.n.x - 5 / 13) < 1e-12 and abs(got.n.y + 12 / 13) < 1e-12
+    big = spark.createDataFrame([((40_000, 30_000),)], "p struct<x:int,y:int>")
     with pytest.raises(Exception, match="(?i)overflow"):
         big.select(geometry.norm2(F.col("p"))).collect()
-    zero = spark.createDataFrame([((0, 0),)], "p struct<x:int,y:int>")
+    none = spark.createDataFrame([((0.0, 0.0),)], "p struct<x:double,y:double>")
     with pytest.raises(Exception, match="no direction"):
-        zero.select(geometry.normalized(F.col("p"))).collect()
+        none.select(geometry.normalized(F.col("p"))).collect()
+    with pytest.raises(Exception, match="(?i)zero"):
+        df.select(geometry.divide(p, F.lit(0), True)).collect()
 
 
 def test_boxes(spark):
