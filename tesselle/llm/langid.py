@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesselle.llm.storage import text_rows
+
 UND = "und"
 DIM = 1024
 #: Bounds of the training sample: about so many documents of each language, chosen by a hash of doc_id,
@@ -215,6 +217,8 @@ def fit(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_PER_LANG, dim: i
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     taken = rows.filter(unit_hash(F.col("doc_id"), 8) < sample_rate(rows, "lang", per_lang)).select("lang", "text").repartition(tasks)
 
+    text_rows(docs)
+
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
@@ -256,6 +260,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, declar
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("declared_score", T.DoubleType())])
     said = F.col(declared).cast("string") if declared else F.lit(None).cast("string")
     out = docs.select(*keep, said.alias("__said"), F.col("text").alias("__text")).mapInArrow(run, schema)
+    text_rows(out)
     return out if declared else out.drop("declared_score")
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tesselle.llm.langid import slices
 from tesselle.llm.memory import Memory
+from tesselle.llm.storage import text_rows
 from tesselle.llm.words import pieces
 
 GRAM, WINDOW = 3, 2
@@ -271,7 +272,7 @@ def align(tpl: np.ndarray, doc: np.ndarray, lo: int, hi: int) -> tuple[int, int,
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = MIN_COVERAGE, keep: str = "doc_id") -> DataFrame:
     """(doc_id, license, coverage, n_matched, start_char, end_char), a row for each notice found in a whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast((templates, least))
+    shared = text_rows(docs).sparkSession.sparkContext.broadcast((templates, least))
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("n_matched", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tesselle.llm.components import connected_components
 from tesselle.llm.langid import slices
 from tesselle.llm.memory import Memory
-from tesselle.llm.storage import discard, materialize
+from tesselle.llm.storage import discard, materialize, text_rows
 from tesselle.llm.words import pieces
 
 WIDTH = 5
@@ -129,7 +129,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 arrays = [part.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * K), flat)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "h1", "h2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig array<int>")
+    return text_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig array<int>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))], names=["doc_id", "h1", "h2", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, shingles array<long>")
+    return text_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, shingles array<long>")
 
 
 def _fits(a: str, b: str, link: int) -> str:

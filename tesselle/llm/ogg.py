@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselle.llm.storage import text_rows
+
 CAPTURE = b"OggS"
 CONTINUED, FIRST, LAST = 1, 2, 4
 NO_GRANULE = 0xFFFFFFFFFFFFFFFF
@@ -210,7 +212,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 padded = [pad(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in padded], pa.int64()), pa.array([store_samples(p) for _, p in padded], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return text_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def features(payload: bytes, info: dict, rate: int = RATE) -> str:

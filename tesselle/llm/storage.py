@@ -31,6 +31,19 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tesselle/{tag}-{uuid.uuid4().hex}"
 
 
+#: Rows of whole texts that go to a Python worker at once, where the session leaves Spark's default of 10,000.
+TEXT_ROWS = 1000
+
+
+def text_rows(df: DataFrame) -> DataFrame:
+    """``df``, whose texts go to Python workers a few at a time: batches of the default size hold tens of megabytes
+    on both sides of every task. A session's own setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to shared storage and return the table read back.
 

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from tesselle.llm.langid import MOST_LANGS, key_rates, rate_column, slices, unit_hash
 from tesselle.llm.memory import Memory
+from tesselle.llm.storage import text_rows
 from tesselle.llm.words import pieces
 
 WIDTHS = (1, 2, 3)
@@ -260,6 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, params: Params = Par
     sampled = seen.filter(unit_hash(F.col("doc_id"), 5) < rate_column(rates, "toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taken = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= params.longest).select("doc_id", "text", "lang").join(F.broadcast(sampled), "doc_id")
     buckets = params.buckets
+    text_rows(docs)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(buckets)
@@ -293,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, params: Params = Par
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default doc_id) with the score of each whole text."""
     keep = keep or ["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = text_rows(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
