@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselle.llm.memory import Memory
-from tesselle.llm.storage import materialize
+from tesselle.llm.storage import materialize, text_rows
 
 MARK = "▁"
 #: Piece types of a model file.
@@ -75,9 +75,21 @@ class Vocabulary:
             if p.type == BYTE:
                 self.byte_ids[int(p.piece[3:-1], 16)] = i
         self.dummy_prefix = m.normalizer_spec.add_dummy_prefix
-        #: (score, id) of pieces, None for what is only the beginning of one
-        self.trie: dict[str, tuple[float, int] | None] = dict.fromkeys(p[:k] for p in self.score for k in range(1, len(p)))
-        self.trie.update(self.score)
+        #: characters that are pieces themselves, and pieces by their characters
+        self.single = {p for p in self.score if len(p) == 1}
+        self.trie = self._branch(sorted(self.score), 0)
+
+    def _branch(self, pieces: list[str], depth: int) -> dict | None:
+        """Next character -> (branch or None, score, id or -1) of sorted pieces that agree in their first ``depth`` characters."""
+        out, k = {}, 0
+        while k < len(pieces):
+            c, j = pieces[k][depth], k
+            while j < len(pieces) and pieces[j][depth] == c:
+                j += 1
+            score, own = self.score[pieces[k]] if len(pieces[k]) == depth + 1 else (NEVER, -1)
+            out[c] = (self._branch(pieces[k + (own >= 0) : j], depth + 1), score, own)
+            k = j
+        return out or None
 
     def prepare(self, text: str | None) -> str:
         """The text as pieces spell it: blanks as marks, one mark in front."""
@@ -141,7 +153,7 @@ def states(matrices: list[Matrix], entry: int = 0, leave: int = 0) -> list[int]:
 class Encoder(Memory):
     """Solves texts by a model; units between characters that no piece joins are remembered as packed ids."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 100_000):
         super().__init__(most)
         self.v = v = Vocabulary(path)
         self.id_score = [
@@ -166,25 +178,26 @@ class Encoder(Memory):
 
     def make(self, s: str) -> bytes:
         """Ids of a unit, solved as one lattice; of equal scores the earliest start wins."""
-        n, trie, longest, unknown = len(s), self.v.trie, self.v.longest, self.v.unknown
+        n, trie, single, longest, unknown = len(s), self.v.trie or {}, self.v.single, self.v.longest, self.v.unknown
         if n == 1:
-            got = trie.get(s)
+            got = self.v.score.get(s)
             ids = [got[1]] if got else [self.v.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")]
             return struct.pack(f"<{len(ids)}I", *ids)
         best, back, made = [NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            here, single = best[i], False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                got = trie.get(s[i:j], 0)
-                if got is None:
-                    continue
-                if got == 0:
+            here, branch, j = best[i], trie, i
+            for c in s[i : i + longest]:
+                node = branch.get(c)
+                if node is None:
                     break
-                single |= j == i + 1
-                if here + got[0] > best[j]:
-                    best[j], back[j], made[j] = here + got[0], i, got[1]
-            if not single and here + unknown > best[i + 1]:
+                j += 1
+                branch, score, piece = node
+                if here + score > best[j]:
+                    best[j], back[j], made[j] = here + score, i, piece
+                if branch is None:
+                    break
+            if s[i] not in single and here + unknown > best[i + 1]:
                 best[i + 1], back[i + 1], made[i + 1] = here + unknown, i, -1
         ids: list[int] = []
         j = n
@@ -211,7 +224,7 @@ class Encoder(Memory):
         Once as many scores in a row as the longest piece has characters differ from base's by the same
         amount, all that follows does, and the lattice ends.
         """
-        trie, longest, unknown, n = self.v.trie, self.v.longest, self.v.unknown, len(s)
+        trie, longest, unknown, n = self.v.trie or {}, self.v.longest, self.v.unknown, len(s)
         best: dict[int, float] = {start: 0.0}
         back: dict[int, int] = {}
         apart, run = 0.0, 0
@@ -223,17 +236,18 @@ class Encoder(Memory):
                 apart = d
                 if run >= longest:
                     return best, back, apart, i
-            single = False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                got = trie.get(s[i:j], 0)
-                if got is None:
-                    continue
-                if got == 0:
+            branch, j = trie, i
+            for c in s[i : i + longest]:
+                node = branch.get(c)
+                if node is None:
+                    break
+                j += 1
+                branch, score, _ = node
+                if here + score > best.get(j, NEVER):
+                    best[j], back[j] = here + score, i
+                if branch is None:
                     break
-                single |= j == i + 1
-                if here + got[0] > best.get(j, NEVER):
-                    best[j], back[j] = here + got[0], i
-            if not single and here + unknown > best.get(i + 1, NEVER):
+            if s[i] not in self.v.single and here + unknown > best.get(i + 1, NEVER):
                 best[i + 1], back[i + 1] = here + unknown, i
         return best, back, 0.0, n
 
@@ -398,6 +412,7 @@ def _encode(docs: DataFrame, model_path: str, keep: list[str], made: str, finish
                 n = pa.array([max(1, -(-(len(t or "") + front) // chunk)) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], n, *finish(enc, ids, part)], names=names)
 
+    text_rows(docs)
     one_task = docs.filter(size <= block).select(*keep, F.col("text").alias("__text")).mapInArrow(whole, f"{fields}, n_chunks long, {made}")
     return one_task.unionByName(_encode_long(docs.filter(size > block), model_path, keep, fields, names, made, finish, chunk, block, fan))
 
