@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tesselle.sources.shared import shared_checkpoints
+
 EPS = 1e-6
 
 
@@ -23,15 +25,17 @@ def cycles_from(edges: DataFrame, most_length: int | None = None) -> DataFrame:
     """(path, weight) of all simple cycles, each once, starting at its least vertex.
 
     Paths grow by one edge a round; a path only visits vertices above its start, so no cycle comes
-    twice. The number of rounds is the longest cycle. Of parallel edges the heaviest counts.
+    twice. The number of rounds is the longest cycle, or ``most_length`` if that is given; each round's
+    paths are checkpointed to the shared folder. Of parallel edges the heaviest counts.
     """
-    e = edges.groupBy("src", "dst").agg(F.max("w").alias("w"))
+    shared_checkpoints(edges.sparkSession)
+    e = edges.groupBy("src", "dst").agg(F.max("w").alias("w")).checkpoint()
     found = e.filter("src = dst").select(F.array("src").alias("path"), F.col("w").alias("weight"))
     front = e.filter("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"), F.col("w").alias("weight"))
     step = e.select(F.col("src").alias("last"), F.col("dst").alias("nxt"), F.col("w").alias("more"))
     length = 2
     while most_length is None or length <= most_length:
-        front = front.persist()
+        front = front.checkpoint()
         if front.isEmpty():
             break
         grown = front.join(step, "last")
@@ -197,8 +201,7 @@ def heaviest_cycles(edges: DataFrame, most_length: int | None = None) -> DataFra
             stay = [k for k in range(len(left)) if k not in set(path)]
             left, w = [left[k] for k in stay], w[np.ix_(stay, stay)]
         return spark.createDataFrame(picked, "cycle_no int, path array<long>, weight double")
-    left = cycles_from(edges, most_length).persist()
-    picked: list[tuple[int, list[int], float]] = []
+    left = cycles_from(edges, most_length).checkpoint()
     while True:
         top = left.agg(F.max("weight")).first()[0]
         if top is None:
@@ -207,19 +210,32 @@ def heaviest_cycles(edges: DataFrame, most_length: int | None = None) -> DataFra
         best = close.orderBy(F.size("path").desc(), "path").first()
         picked.append((len(picked), list(best.path), float(best.weight)))
         used = F.array(*[F.lit(v).cast("long") for v in best.path])
-        left = left.filter(~F.arrays_overlap(F.col("path").cast("array<bigint>"), used))
+        left = left.filter(~F.arrays_overlap(F.col("path").cast("array<bigint>"), used)).checkpoint()
     return spark.createDataFrame(picked, "cycle_no int, path array<long>, weight double")
 
 
-def queue_order(items: DataFrame, by: list[str] | None = None) -> DataFrame:
+def queue_order(items: DataFrame, by: list[str] | None = None, bucket_rows: int = 50_000) -> DataFrame:
     """Items (value, priority, op_no) with ``pos``, their place among a queue's pops.
 
-    The latest priority of a value counts; the least priority pops first, ties by value.
+    The latest priority of a value counts; the least priority pops first, ties by value. Queues may be
+    few and long: each is cut into buckets of priority by its number of items, places are counted within
+    buckets, and a table with a row for each bucket tells how many items stand before it.
     """
     by = by or []
     latest = items.groupBy(*by, "value").agg(F.max_by("priority", "op_no").alias("priority"))
-    w = Window.partitionBy(*by).orderBy("priority", "value")
-    return latest.withColumn("pos", F.row_number().over(w) - 1)
+    key = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
+    rows = latest.select(key.alias("__k"), "value", "priority")
+    p = F.col("priority").cast("double")
+    span = rows.groupBy(F.col("__k").alias("__k2")).agg(F.min(p).alias("__lo"), F.max(p).alias("__hi"), F.count("*").alias("__n"))
+    width = F.greatest((F.col("__hi") - F.col("__lo")) / F.ceil(F.col("__n") / bucket_rows), F.lit(1e-300))
+    rows = rows.join(span.select("__k2", "__lo", width.alias("__w")), F.col("__k").eqNullSafe(F.col("__k2")))
+    rows = rows.select("__k", F.coalesce(F.floor((p - F.col("__lo")) / F.col("__w")), F.lit(-1)).alias("__b"), "value", "priority")
+    sizes = rows.groupBy(F.col("__k").alias("__k2"), F.col("__b").alias("__b2")).agg(F.count("*").alias("__m"))
+    before = Window.partitionBy("__k2").orderBy("__b2").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__k2", "__b2", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__ahead"))
+    own = rows.withColumn("__i", F.row_number().over(Window.partitionBy("__k", "__b").orderBy("priority", "value")))
+    own = own.join(sizes, F.col("__k").eqNullSafe(F.col("__k2")) & (F.col("__b") == F.col("__b2")))
+    return own.select(*[F.col(f"__k.{c}").alias(c) for c in by], "value", "priority", (F.col("__ahead") + F.col("__i") - 1).cast("int").alias("pos"))
 
 
 class IndexedHeap:

@@ -143,34 +143,44 @@ def fill_gaps(spark, d):
     return raster.fill_gaps(views.mask(spark, d))
 
 
-def _gauss_sql(sigma: float) -> str:
+def _gauss_ctes(sigma: float) -> str:
+    """h and soft: the raster blurred along rows, then along columns too."""
     k = raster.gaussian_kernel(sigma)
     r = len(k) // 2
     kern = ", ".join(f"({i - r}, {v!r}::DOUBLE)" for i, v in enumerate(k))
     last = views.SIDE - 1
-    return f"""WITH {views.RASTER}, k(d, w) AS (VALUES {kern}),
-      h AS (SELECT a.image_id, a.y, a.x, sum(b.v * w) AS v FROM rast a, k JOIN rast b ON a.image_id = b.image_id AND a.y = b.y AND b.x = least(greatest(a.x + d, 0), {last}) GROUP BY ALL)
-      SELECT a.image_id, a.y, a.x, round(sum(b.v * w), 6) AS v FROM h a, k JOIN h b ON a.image_id = b.image_id AND a.x = b.x AND b.y = least(greatest(a.y + d, 0), {last}) GROUP BY ALL"""
+    return f"""{views.RASTER}, k(d, w) AS (VALUES {kern}),
+      h AS (SELECT a.image_id, a.y, a.x, sum(b.v * w) AS v FROM rast a, k JOIN rast b ON a.image_id = b.image_id AND a.y = b.y AND b.x = least(greatest(a.x + d, 0), {last}) GROUP BY ALL),
+      soft AS (SELECT a.image_id, a.y, a.x, sum(b.v * w) AS v FROM h a, k JOIN h b ON a.image_id = b.image_id AND a.x = b.x AND b.y = least(greatest(a.y + d, 0), {last}) GROUP BY ALL)"""
 
 
-@query(_gauss_sql(0.5))
+@query(f"WITH {_gauss_ctes(0.5)} SELECT image_id, y, x, round(v, 6) AS v FROM soft")
 def gauss_blur(spark, d):
     return raster.gaussian_blur(views.raster(spark, d), 0.5).select("image_id", "y", "x", _r(F.col("v")).alias("v"))
 
 
-_SOBEL = views.RASTER + """, g AS (
+def _sobel_ctes(of: str) -> str:
+    return f""", g AS (
   SELECT a.image_id, a.y, a.x, sum(b.v * (b.x - a.x) * (2 - abs(b.y - a.y)))::DOUBLE AS dx, sum(b.v * (b.y - a.y) * (2 - abs(b.x - a.x)))::DOUBLE AS dy
-  FROM rast a JOIN rast b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1
+  FROM {of} a JOIN {of} b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1
   WHERE a.y BETWEEN 1 AND 62 AND a.x BETWEEN 1 AND 62 GROUP BY ALL),
  s AS (SELECT r.image_id, r.y, r.x, coalesce(dx, 0) AS dx, coalesce(dy, 0) AS dy FROM rast r LEFT JOIN g USING (image_id, y, x))"""
 
 
+_SOBEL = views.RASTER + _sobel_ctes("rast")
+
+
 @query(f"WITH {_SOBEL} SELECT image_id, y, x, dx, dy, round(sqrt(dx * dx + dy * dy), 6) AS mag, CASE WHEN sqrt(dx * dx + dy * dy) <= 1e-6 THEN 0 ELSE round(degrees(atan2(dy, dx)) + CASE WHEN degrees(atan2(dy, dx)) < 0 THEN 360 ELSE 0 END, 6) END AS angle FROM s")
 def sobel(spark, d):
     return raster.sobel(views.raster(spark, d)).select("image_id", "y", "x", "dx", "dy", _r(F.col("mag")).alias("mag"), _r(F.col("angle")).alias("angle"))
 
 
-@query()
+@query(f"""WITH {_gauss_ctes(1.0)} {_sobel_ctes("soft")},
+  m AS (SELECT *, sqrt(dx * dx + dy * dy) AS mag, CASE WHEN sqrt(dx * dx + dy * dy) <= 1e-6 THEN 0 ELSE degrees(atan2(dy, dx)) + CASE WHEN atan2(dy, dx) < 0 THEN 360 ELSE 0 END END AS angle FROM s),
+  t AS (SELECT *, floor((angle + 22.5) % 180 / 45)::INT AS sector FROM m),
+  o AS (SELECT *, [0, -1, -1, -1][sector + 1] AS oy, [-1, -1, 0, 1][sector + 1] AS ox FROM t)
+  SELECT o.image_id, o.y, o.x, o.mag > 0 AND o.mag >= coalesce(p.mag, 0) AND o.mag >= coalesce(q.mag, 0) AS edge FROM o
+  LEFT JOIN m p ON p.image_id = o.image_id AND p.y = o.y + oy AND p.x = o.x + ox LEFT JOIN m q ON q.image_id = o.image_id AND q.y = o.y - oy AND q.x = o.x - ox""")
 def edge_thinning(spark, d):
     return raster.non_maximum_suppression(raster.sobel(raster.gaussian_blur(views.raster(spark, d), 1.0)))
 

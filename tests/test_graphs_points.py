@@ -146,3 +146,16 @@ def test_radii_of_every_size(spark):
     queries = [(k, float(a), float(b), float(s)) for k, ((a, b), s) in enumerate(zip(xy[::10], [0.0, 1e-7, 0.4, 3.0, 17.0, 64.0, 90.0, 400.0, -1.0] * 3))]
     got = {(x.qid, x.id) for x in neighbours.radius_join(p, spark.createDataFrame(queries, "qid long, x double, y double, radius double")).collect()}
     assert got == {(k, i) for k, a, b, s in queries if s >= 0 for i, (x, y) in enumerate(xy) if (x - a) ** 2 + (y - b) ** 2 <= s * s}
+
+
+def test_buckets_of_a_queue_change_nothing(spark):
+    r = np.random.default_rng(1)
+    rows = [(["a", None][k % 2], int(v), None if k % 31 == 0 else float(p), k) for k, (v, p) in enumerate(zip(r.integers(0, 150, 400), r.integers(0, 60, 400)))]
+    df = spark.createDataFrame(rows, "q string, value long, priority double, op_no long")
+    runs = [sorted(((x.q or "", x.pos, x.value) for x in graphs.queue_order(df, ["q"], n).collect())) for n in (10**9, 1, 9)]
+    assert runs[0] == runs[1] == runs[2]
+    last = {(q, v): p for q, v, p, _ in rows}
+    for q in ("a", None):
+        want = sorted((v for g, v in last if g == q), key=lambda v: (last[q, v] is not None, last[q, v] or 0, v))
+        assert [v for g, _, v in runs[0] if g == (q or "")] == want
+    assert sorted(x.pos for x in graphs.queue_order(df.drop("q"), bucket_rows=5).collect()) == list(range(len({v for _, v, _, _ in rows})))
