@@ -490,11 +490,12 @@ def circle_px(spark, d):
     return drawing.circle_pixels(s, ["id"])
 
 
-@query(f"""WITH RECURSIVE {_WALK}, {views.RASTER}, l AS (SELECT y, x, max(id) AS z FROM w GROUP BY ALL)
-  SELECT image_id, y, x, CASE WHEN z IS NULL THEN v ELSE 255 - (z % 100)::INT END AS v FROM rast LEFT JOIN l USING (y, x)""")
+@query(f"""WITH RECURSIVE {_WALK}, {views.RASTER}, l AS (SELECT (id // {views.PER_IMAGE})::INT AS image_id, y, x, max(id) AS z FROM w GROUP BY ALL)
+  SELECT image_id, y, x, CASE WHEN z IS NULL THEN v ELSE 255 - (z % 100)::INT END AS v FROM rast LEFT JOIN l USING (image_id, y, x)""")
 def overlay_px(spark, d):
+    """Every supplier's line on the image of its group."""
     px = drawing.line_pixels(_lines(spark, d), ["id"])
-    layers = px.crossJoin(F.broadcast(views.image_ids(spark, d))).select("image_id", "y", "x", F.col("id").alias("z"), (F.lit(255) - F.col("id") % 100).cast("int").alias("v"))
+    layers = px.select(F.floor(F.col("id") / views.PER_IMAGE).cast("int").alias("image_id"), "y", "x", F.col("id").alias("z"), (F.lit(255) - F.col("id") % 100).cast("int").alias("v"))
     return drawing.overlay(views.raster(spark, d), layers, ["v"])
 
 
