@@ -10,12 +10,14 @@ can open the shards too.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,20 +46,57 @@ def _byte_table() -> dict[int, str]:
 BLANK = _byte_table()[32]
 
 
-class _Unsafe(Exception):
-    pass
+#: Kinds of characters that the split tells apart.
+OTHER, LETTER, NUMBER, SPACE = range(4)
+#: Characters of a text that are split at once, and pre-tokens that are looked up at once.
+RUN, TOKENS = 1 << 18, 1 << 16
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """The kind of every code point, by the classes of PRETOKEN."""
+    import regex
+
+    every = "".join(map(chr, range(0x110000)))
+    out = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def starts(text: str) -> np.ndarray:
+    """Places where the pre-tokens of a text begin, the split of PRETOKEN found for all places at once.
+
+    A pre-token is a run of one kind, with the blank before it if there is one. Of white space before
+    another kind the last character stands apart, or is that blank. An apostrophe that begins a
+    pre-token takes the endings s, t, m, d, re, ve and ll with it.
+    """
+    ch = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds()[ch]
+    first = np.ones(len(ch), bool)
+    before, own = kind[:-1], kind[1:]
+    first[1:] = np.where(before == SPACE, np.where(own == SPACE, False, ch[:-1] != 32), before != own)
+    first[:-1] |= (before == SPACE) & (own != SPACE)
+    for i in np.flatnonzero((ch == 39) & first).tolist():
+        if i and text[i - 1] == " " and not first[i]:
+            continue
+        n = 1 if text[i + 1 : i + 2] in ("s", "t", "m", "d") else 2 if text[i + 1 : i + 3] in ("re", "ve", "ll") else 0
+        if n:
+            first[i + 1 : i + 1 + n] = False
+            first[i + 1 + n : i + 2 + n] = True
+    return np.flatnonzero(first)
 
 
 class UnitEncoder(Memory):
-    """Encodes texts by a tokenizers file; blank-separated units are remembered as packed ids.
+    """Encodes texts by a tokenizers file; pre-tokens are remembered as packed ids.
 
-    The pre-tokenizer never joins what stands on both sides of a single blank between two other
-    characters, so " unit" encodes alike wherever it stands. Texts with other white space around
-    a blank, and those that hold a special token's string, go through the library as a whole, which
-    gives such a string the token's id.
+    Pre-tokens are encoded on their own by the library's model, as the library does. Texts that hold a
+    special token's string go through the library as a whole, which gives such a string the token's id.
     """
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 300_000):
         super().__init__(most)
         import regex
         from tokenizers import Tokenizer
@@ -67,52 +106,45 @@ class UnitEncoder(Memory):
         self.special = regex.compile("|".join(regex.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or r"(?!)").search
         table = _byte_table()
         self.table = [table[b] for b in range(256)]
-        self.pieces = regex.compile(PRETOKEN).findall
-        #: packed ids of the shortest pre-tokens, marks and digits mostly
-        self.words: dict[str, bytes] = {}
 
-    def _piece(self, p: str) -> bytes:
+    def make(self, p: str) -> bytes:
         """Packed ids of one pre-token."""
-        got = self.words.get(p)
-        if got is None:
-            ids = [t.id for t in self.model.tokenize("".join(map(self.table.__getitem__, p.encode())))]
-            got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(p) < 4:
-                if len(self.words) >= self.most:
-                    self.words.clear()
-                self.words[p] = got
-        return got
+        if p.isascii():
+            spelled = p if p.isalpha() else BLANK + p[1:] if p[0] == " " and p[1:].isalpha() else "".join(map(self.table.__getitem__, p.encode()))
+        else:
+            spelled = "".join(map(self.table.__getitem__, p.encode("utf-8", "surrogatepass")))
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _pack(self, unit: str) -> bytes:
-        return b"".join(map(self._piece, self.pieces(unit)))
-
-    def make(self, unit: str) -> bytes:
-        if unit.isalpha():
-            if unit.isascii():
-                ids = [t.id for t in self.model.tokenize(BLANK + unit)]
-                return struct.pack(f"<{len(ids)}I", *ids)
-            return self._piece(" " + unit)
-        if not unit or unit[0].isspace() or unit[-1].isspace():
-            raise _Unsafe
-        if unit[-1] in ".," and unit[:-1].isalpha():
-            return self[unit[:-1]] + self._piece(unit[-1])
-        return self._pack(" " + unit)
-
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str, run: int = RUN) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        units = text.split(" ")
-        if not self.special(text):
-            if len(units) == 1:
-                return self._pack(text)
-            if units[0] and not units[0][-1].isspace():
-                try:
-                    return self._pack(units[0]) + b"".join(map(self.__getitem__, units[1:]))
-                except _Unsafe:
-                    pass
-        ids = self.tok.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if self.special(text):
+            ids = self.tok.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        if len(text) <= run:
+            return self._run(text)
+        return b"".join(map(self._run, _runs(text, run)))
+
+    def _run(self, text: str) -> bytes:
+        at = starts(text).tolist()
+        at.append(len(text))
+        if len(at) <= TOKENS:
+            return b"".join(map(self.__getitem__, [text[a:b] for a, b in zip(at, at[1:])]))
+        return b"".join(b"".join(map(self.__getitem__, [text[a:b] for a, b in zip(at[k : k + TOKENS], at[k + 1 : k + TOKENS + 1])])) for k in range(0, len(at) - 1, TOKENS))
+
+
+def _runs(text: str, most: int) -> Iterator[str]:
+    """A text in runs of about ``most`` characters, cut before single blanks, where a pre-token always begins."""
+    at = 0
+    while len(text) - at > most:
+        m = _BETWEEN.search(text, at + most)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 @lru_cache(maxsize=1)
@@ -123,7 +155,7 @@ def unit_encoder(path: str) -> UnitEncoder:
 class ShardWriter:
     """Streams frames to an open binary file; memory holds one document and 24 bytes for each earlier one."""
 
-    def __init__(self, out, level: int = 3):
+    def __init__(self, out, level: int = 1):
         import zstandard
         from xxhash import xxh64_intdigest
 
@@ -151,7 +183,6 @@ class ShardReader:
     """Random access to a shard; ``file`` needs seek, read and size."""
 
     def __init__(self, file):
-        import numpy as np
         import zstandard
         from xxhash import xxh64_intdigest
 

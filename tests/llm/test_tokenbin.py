@@ -41,6 +41,23 @@ def test_random_strings_equal_the_library(alphabet):
         assert e.encode(t) == struct.pack(f"<{len(ids)}I", *ids), t
 
 
+def test_split_equals_the_pattern():
+    import regex
+
+    pattern, rng = regex.compile(tokenbin.PRETOKEN), random.Random(12)
+    alphabet = [" ", "  ", "\n", "\t", "\u00a0", "\u3000", "'", "'s", "'re", "'ll", "'v", "s", "t", "re", "ll", "é", "日", "Ⅷ", "½", "7", "!", "--", "\x1c", "\u0301", "\U0001f600", "a"]
+    for _ in range(30_000):
+        t = "".join(rng.choices(alphabet, k=rng.randrange(1, 12)))
+        assert tokenbin.starts(t).tolist() == [m.start() for m in pattern.finditer(t)], repr(t)
+
+
+def test_runs_of_long_texts():
+    e, rng = tokenbin.UnitEncoder(FILE), random.Random(13)
+    for _ in range(300):
+        t = "".join(rng.choices(["a", "b ", " ", "  c", "\n", "'s ", ". "], k=400))
+        assert e.encode(t, 7) == e.encode(t) and "".join(tokenbin._runs(t, 7)) == t
+
+
 def test_shards_read_back(spark, odd):
     got = tokenbin.tokenize_to_shards(odd, FILE).collect()
     assert len(got) == 10
