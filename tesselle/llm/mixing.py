@@ -20,6 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselle.llm.storage import materialize
 from tesselle.llm.words import word_count
 
 WEIGHTS = (5, 2, 1)
@@ -33,25 +34,38 @@ def _before(part: list[str], order: list[str], value: str) -> Column:
     return F.coalesce(F.sum(value).over(w), F.lit(0).cast("long"))
 
 
+def _running(df: DataFrame, order: list[str], values: list[str], tag: str) -> DataFrame:
+    """``df`` with <value>_before: sums over all rows that stand before in a total order, by a distributed prefix sum.
+
+    Rows are range-sorted and written, so that their partitions stay; sums run within partitions, and a
+    table with a row for each partition carries them on.
+    """
+    t = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()), tag)
+    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = t.groupBy("__p").agg(*[F.sum(v).alias(v) for v in values])
+    parts = parts.select("__p", *[F.coalesce(F.sum(v).over(ahead), F.lit(0)).alias(f"__{v}") for v in values])
+    own = t.select("*", *[_before(["__p"], order, v).alias(f"{v}_before") for v in values])
+    got = own.join(F.broadcast(parts), "__p")  # no more rows than partitions
+    return got.select(*df.columns, *[(F.col(f"{v}_before") + F.col(f"__{v}")).alias(f"{v}_before") for v in values])
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """(nosrc, src, source_size, target) from a table with a row for each source: (nosrc, src, source_size).
 
     The level at which weights are paid is found in closed form: sources sorted by the level at which
-    they are full, the first one that the remaining budget cannot fill tells the level of the rest.
+    they are full, the first one that the remaining budget cannot fill tells the level of the rest. Both
+    orders, by name for the weights and by level, are distributed, so sources may be many.
     """
-    order = Window.orderBy("nosrc", "src")
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sources.withColumn("w", w.cast("long")).withColumn("full", F.col("source_size") * cap)
+    placed = _running(sources.withColumn("one", F.lit(1).cast("long")), ["nosrc", "src"], ["one"], "sources")
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod("one_before", F.lit(len(weights))) + 1).cast("int"))
+    s = placed.select("nosrc", "src", "source_size", w.cast("long").alias("w"), (F.col("source_size") * cap).alias("full"))
     s = s.withColumn("ratio", F.col("full").cast("double") / F.col("w"))
-    every = Window.partitionBy()
-    up = Window.orderBy("ratio", "nosrc", "src").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("total", F.sum("source_size").over(every) * F.lit(share).cast("double"))
-    s = s.withColumn("paid", F.coalesce(F.sum("full").over(up), F.lit(0))).withColumn("left", F.sum("w").over(every) - F.coalesce(F.sum("w").over(up), F.lit(0)))
-    s = s.withColumn("level", (F.col("total") - F.col("paid")) / F.col("left"))
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "nosrc", "src", "level"))).over(every)
-    level = first["level"]
-    target = F.least(F.col("full").cast("double"), F.coalesce(level, F.lit(float("inf"))) * F.col("w"))
-    return s.select("nosrc", "src", "source_size", target.alias("target"))
+    every = s.agg((F.sum("source_size") * F.lit(share).cast("double")).alias("total"), F.sum("w").alias("every"))
+    s = _running(s, ["ratio", "nosrc", "src"], ["full", "w"], "levels").crossJoin(F.broadcast(every))  # one row
+    s = s.withColumn("level", (F.col("total") - F.col("full_before")) / (F.col("every") - F.col("w_before")))
+    first = s.agg(F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "nosrc", "src", "level")))["level"].alias("paid"))
+    target = F.least(F.col("full").cast("double"), F.coalesce("paid", F.lit(float("inf"))) * F.col("w"))
+    return s.crossJoin(F.broadcast(first)).select("nosrc", "src", "source_size", target.alias("target"))
 
 
 def plan(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:

@@ -70,3 +70,10 @@ def test_words(spark, text, n):
     from tesselle.llm.words import split_words, word_count
 
     assert spark.createDataFrame([(text,)], "t string").select(word_count(F.col("t"))).first()[0] == n == len(split_words(text))
+
+
+def test_many_sources(spark, documents):
+    """As many sources as documents nearly, over several partitions of the running sums."""
+    rows = [(i, "w " * (i * 13 % 29), "en", None if i % 97 == 0 else f"http://site{i * 7 % 150}.example/") for i in range(400)]
+    got = mixing.plan(documents(rows).repartition(7)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.size, r.taken, round(r.target, 6)) for r in got) == brute(rows)
