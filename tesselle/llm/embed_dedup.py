@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselle.llm.components import connected_components
-from tesselle.llm.storage import materialize
+from tesselle.llm.storage import discard, materialize
 
 MIN_COSINE = 0.93
 TABLES, PROBES, SCALE = 8, 4, 5.0
@@ -290,4 +290,6 @@ def link_components(vectors: DataFrame, cosine: float = MIN_COSINE, tables: int
     known = of_id.join(one, ["label", "h1", "h2"]).select("vec_id", "uid").join(per, "uid").select("vec_id", "n_links", "component")
     out = v.select("vec_id").join(known, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = materialize(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "components")
+    discard(ready, of_id, one, units, posted, in_ball, of, pairs, settled, comp)
+    return out
