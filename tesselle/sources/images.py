@@ -8,12 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from tesselle.functions import stats
 from tesselle.operators import drawing
+from tesselle.sources import pngfile
 from tesselle.sources.jpeg import jpeg
 
 PIXELS = "image_id long, y int, x int, r int, g int, b int, a int"
@@ -34,14 +35,41 @@ def load_images(spark: SparkSession, path: str, skip_bad: bool = False) -> DataF
 
     A path without files is an error, and so is a file that is no picture, when its row is read; with
     ``skip_bad`` such files are left out. The id is a hash of the file's name, so it does not depend on
-    which other files there are.
+    which other files there are. Spark's image source decodes; the PNG forms that it gets wrong are told
+    by their first bytes and decoded apart.
     """
     read = spark.read.format("image").option("dropInvalid", skip_bad).load(path)
     if skip_bad:
-        return with_id(read)
+        return _mended(spark, path, with_id(read))
     bad = F.raise_error(F.concat(F.lit("not a picture: "), F.col("image.origin"))).cast("binary")
     fields = [F.when(F.col("image.nChannels") > 0, F.col("image.data")).otherwise(bad).alias("data") if f == "data" else F.col(f"image.{f}") for f in ("origin", "height", "width", "nChannels", "mode", "data")]
-    return with_id(read.select(F.struct(*fields).alias("image")))
+    return _mended(spark, path, with_id(read.select(F.struct(*fields).alias("image"))))
+
+
+def _mended(spark: SparkSession, path: str, images: DataFrame) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][nN][gG]").load(path)
+    head = F.substring("content", 1, 4096)
+    form = F.substring(F.hex(F.substring("content", 25, 2)), 1, 4)  # bits and colour type
+    clear_gray = form.isin("0100", "0200", "0400", "0800") & F.contains(head, F.lit(b"tRNS"))
+    odd = files.filter((F.substring(form, 1, 2) == "10") | (F.substring(form, 3, 2) == "04") | clear_gray)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    v = pngfile.decode(content)
+                except (ValueError, KeyError, struct.error, zlib.error):
+                    continue  # the image source's row, or its error, stands
+                n = v.shape[2]
+                bgr = np.concatenate([v[:, :, 2::-1], v[:, :, 3:]], axis=2)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int32()), pa.array([bgr.tobytes()], pa.binary())], names=["__file", "__n", "__data"])
+
+    def plain(name: Column) -> Column:
+        return F.regexp_replace(name, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+    right = odd.select(plain(F.col("path")).alias("__file"), "content").mapInArrow(decode, "__file string, __n int, __data binary")
+    got = images.join(right, plain(F.col("origin")) == F.col("__file"), "left")
+    return got.select("image_id", "origin", "width", "height", F.coalesce("__n", "nChannels").alias("nChannels"), F.coalesce("__data", "data").alias("data"))
 
 
 def with_id(images: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import struct
+
 import numpy as np
 import pytest
 from helpers import pixels, rect
@@ -211,3 +213,69 @@ def test_signed_images_choose_their_scale(spark, tmp_path):
     for r in images.load_images(spark, str(tmp_path / "s")).collect():
         got[r.origin.rsplit("/", 1)[1]] = images.rgba(r.data, r.width, r.height, r.nChannels)[0, :, 0].tolist()
     assert got == {"0000.png": [0, 255], "0001.png": [64, 255]}
+
+
+def png_file(kind, depth, values, extra=b"", filters=None, interlaced=False):
+    """A PNG file of (height, width, n) values, written plainly."""
+    import zlib
+
+    from tesselle.sources import pngfile
+
+    h, w, n = values.shape
+
+    def lines(v):
+        out, before, step = b"", None, max(1, n * depth // 8)
+        for y, row in enumerate(v):
+            if depth == 16:
+                raw = row.astype(">u2").tobytes()
+            else:
+                raw = np.packbits(((row.reshape(-1, 1) >> np.arange(depth)[::-1]) & 1).astype(np.uint8).ravel()).tobytes()
+            before = before or bytes(len(raw))
+            f = filters[y % len(filters)] if filters else 0
+            coded = bytearray()
+            for i, x in enumerate(raw):
+                a, b, c = (raw[i - step] if i >= step else 0), before[i], (before[i - step] if i >= step else 0)
+                paeth = sorted(((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c)))[0][2]
+                coded.append((x - (0, a, b, (a + b) // 2, paeth)[f]) & 255)
+            out += bytes([f]) + bytes(coded)
+            before = raw
+        return out
+
+    data = b"".join(lines(values[y0::dy, x0::dx]) for x0, y0, dx, dy in pngfile.PASSES if values[y0::dy, x0::dx].size) if interlaced else lines(values)
+    head = struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, int(interlaced))
+    return pngfile.SIGNATURE + images._chunk(b"IHDR", head) + extra + images._chunk(b"IDAT", zlib.compress(data)) + images._chunk(b"IEND", b"")
+
+
+def test_unusual_png_files(spark, tmp_path):
+    """Sixteen bits, gray with alpha and clear gray: decoded apart; other forms by the image source."""
+    from tesselle.sources import pngfile
+
+    r = np.random.default_rng(6)
+    forms = {}
+    for kind, n in pngfile.VALUES.items():
+        for depth in (1, 2, 4, 8, 16):
+            if depth < 8 and kind not in (0, 3) or depth == 16 and kind == 3:
+                continue
+            for interlaced in (False, True):
+                v = r.integers(0, 1 << depth, (9, 11, n))
+                extra, palette, clear = b"", r.integers(0, 256, (1 << min(depth, 8), 3)), None
+                if kind == 3:
+                    extra = images._chunk(b"PLTE", palette.astype(np.uint8).tobytes())
+                if kind == 0 and depth > 1:
+                    clear = int(v[0, 0, 0])
+                    extra += images._chunk(b"tRNS", struct.pack(">H", clear))
+                b = (lambda x: x >> 8) if depth == 16 else (lambda x: x * 255 // ((1 << depth) - 1))
+                alpha = b(v[:, :, -1:]) if kind in (4, 6) else np.where(v == clear, 0, 255) if clear is not None else np.full((9, 11, 1), 255)
+                colour = palette[v[:, :, 0]] if kind == 3 else np.repeat(b(v[:, :, :1]), 3, axis=2) if kind in (0, 4) else b(v[:, :, :3])
+                forms[f"k{kind}d{depth}i{int(interlaced)}.png"] = (png_file(kind, depth, v, extra, [0, 1, 2, 3, 4], interlaced), np.concatenate([colour, alpha], axis=2))
+    for name, (data, want) in forms.items():
+        (tmp_path / name).write_bytes(data)
+        got = pngfile.decode(data)
+        assert (got == want[:, :, : got.shape[2]]).all() and (got.shape[2] == 4 or (want[:, :, 3] == 255).all()), name
+    rows = images.load_images(spark, str(tmp_path)).collect()
+    assert len(rows) == len(forms)
+    for x in rows:
+        want = forms[x.origin.rsplit("/", 1)[1]][1]
+        assert (images.rgba(x.data, x.width, x.height, x.nChannels) == want).all(), x.origin
+    with pytest.raises(ValueError):
+        pngfile.decode(forms["k0d8i0.png"][0][:-30])
