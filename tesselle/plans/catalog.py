@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tesselle.functions import geometry, pixels, rng, signals, stats
 from tesselle.operators import contours, drawing, graphs, matching, neighbours, objects, raster
+from tesselle.plans import report, views
 from tesselle.plans import solve as photo
-from tesselle.plans import views
+from tesselle.sources import images, shared
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -558,3 +559,135 @@ def solve(spark, d):
     """The whole chain from pixels to ranked matches; tested against a plain version."""
     colours = views.photos(spark, d)
     return photo.solve(colours, photo.Params(downscale=2.0, grow=1, shrink=2, samples=20)).select("image_id", "a", "b", "rank", "c", "d", _r(F.col("dist")).alias("dist"))
+
+
+# ---- places, names, extents ----
+
+
+@query("SELECT event_id, (event_id // 37)::INT AS y, (event_id % 37)::INT AS x, printf('%04d', event_id) AS name, least(abs(user_id * 7 % 360 - event_id % 360), 360 - abs(user_id * 7 % 360 - event_id % 360))::DOUBLE AS apart, ((user_id * 50) - 360 * floor(user_id * 50 / 360.0))::DOUBLE AS wrapped FROM events")
+def places_names_angles(spark, d):
+    y, x = pixels.linear_place(F.col("event_id"), 37)
+    apart = pixels.degrees_apart((F.col("user_id") * 7 % 360).cast("double"), (F.col("event_id") % 360).cast("double"))
+    return views.table(spark, d, "events").select("event_id", y.alias("y"), x.alias("x"), pixels.pixel_name(F.col("event_id")).alias("name"), apart.alias("apart"), pixels.wrap_degrees((F.col("user_id") * 50).cast("double")).alias("wrapped"))
+
+
+@query(f"WITH {views.RASTER} SELECT image_id, min(v)::DOUBLE AS lo, max(v)::DOUBLE AS hi, max(abs(v))::DOUBLE AS top FROM rast WHERE y BETWEEN 1 AND {views.SIDE - 2} AND x BETWEEN 1 AND {views.SIDE - 2} GROUP BY image_id")
+def inner_extent(spark, d):
+    return stats.image_extent(views.raster(spark, d), skip_border=True)
+
+
+@query(f"WITH {views.RASTER}, a AS (SELECT s_suppkey AS id, (s_suppkey // {views.PER_IMAGE})::INT AS image_id, (s_nationkey * 3)::INT AS y, (s_suppkey % 80)::INT AS x FROM supplier) SELECT id, image_id, y, x, v FROM a LEFT JOIN rast USING (image_id, y, x)")
+def gather_px(spark, d):
+    at = views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.floor(F.col("s_suppkey") / views.PER_IMAGE).cast("int").alias("image_id"), (F.col("s_nationkey") * 3).cast("int").alias("y"), (F.col("s_suppkey") % 80).cast("int").alias("x"))
+    return raster.gather(views.raster(spark, d), at).select("id", "image_id", "y", "x", "v")
+
+
+@query("""SELECT event_type, count(user_id) || ' values - (min=' || min(user_id) || ' 10%=' || regexp_replace(regexp_replace(printf('%.10f', quantile_cont(user_id, 0.1)), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || ' median=' || regexp_replace(regexp_replace(printf('%.10f', quantile_cont(user_id, 0.5)), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')
+  || ' 90%=' || regexp_replace(regexp_replace(printf('%.10f', quantile_cont(user_id, 0.9)), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || ' max=' || max(user_id) || ')' AS text FROM events GROUP BY event_type""")
+def summary_whole(spark, d):
+    return stats.summary(views.table(spark, d, "events"), ["event_type"], "user_id").select("event_type", "text")
+
+
+@query("WITH " + views.TRADE.strip() + " SELECT src::BIGINT AS src, dst::BIGINT AS dst, w FROM net")
+def checked_edges(spark, d):
+    return graphs.check_edges(views.trade(spark, d), 25).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "w")
+
+
+# ---- objects and what shows them ----
+
+
+def _own(spark, d) -> DataFrame:
+    return objects.own_pixels(views.scenes(spark, d), views.scene_mask(spark, d), ["r", "g", "b"])
+
+
+_SCENE_PX = "scene AS (SELECT image_id, obj_id, s, w, h, x0, y0, y - y0 AS ly, x - x0 AS lx, y, x, (x * x * 37 + y * 61 + x * y * 11 + s * s * 5) % 199 AS r, (x * y * 13 + y * y * 29 + s * x * 3) % 211 AS g, ((x + 3) * (y + 7) * (s + 17)) % 191 AS b FROM obj, range(48) a(y), range(64) b(x) WHERE y BETWEEN y0 AND y0 + h - 1 AND x BETWEEN x0 AND x0 + w - 1)"
+_DRAWS = "st(i, a) AS (SELECT -1, s0 FROM {seed} UNION ALL SELECT i + 1, xor(c, (c << 5) & 4294967295) FROM (SELECT i, xor(b, b >> 17) AS c FROM (SELECT i, xor(a, (a << 13) & 4294967295) AS b FROM st WHERE i < 40)))"
+
+
+def _seed_sql(seed: int) -> str:
+    return _SEED7.replace("(7 + ", f"({seed} + ")
+
+
+@query(f"WITH {views.SIDES}, {_SCENE_PX} SELECT image_id::BIGINT AS image_id, obj_id, ly::INT AS y, lx::INT AS x, true AS fg, r::INT AS r, g::INT AS g, b::INT AS b FROM scene")
+def object_crops(spark, d):
+    return objects.crops(views.scenes(spark, d), views.scene_mask(spark, d), ["r", "g", "b"])
+
+
+@query(f"WITH {views.SIDES} SELECT image_id::BIGINT AS image_id, obj_id, side_id, i::INT AS pos, lx::INT AS x, ly::INT AS y FROM px WHERE side_id < 3 UNION ALL SELECT image_id::BIGINT, obj_id, side_id, (i + 1)::INT, lx::INT, ly::INT FROM px WHERE side_id = 3 UNION ALL SELECT image_id::BIGINT, obj_id, side_id, 0, lx::INT, ly::INT FROM px WHERE side_id = 3 AND i = 0")
+def outline_px(spark, d):
+    """The outlines pixel by pixel: where they start, which way they run, where they are cut into sides."""
+    s = _sides(spark, d, 2).select("image_id", "obj_id", "side_id", F.posexplode(F.arrays_zip("xs", "ys")).alias("pos", "p"))
+    return s.select("image_id", "obj_id", "side_id", "pos", F.col("p.xs").alias("x"), F.col("p.ys").alias("y"))
+
+
+@query(f"WITH {views.samples_sql(10)} SELECT image_id::BIGINT AS image_id, obj_id, side_id AS y, k::INT AS x, max(u) FILTER (c = 0) AS r, max(u) FILTER (c = 1) AS g, max(u) FILTER (c = 2) AS b FROM smp GROUP BY ALL")
+def swatch_px(spark, d):
+    return report.swatches(_sides(spark, d, 10))
+
+
+@query(f"""WITH RECURSIVE {views.SIDES}, {_SCENE_PX}, {_DRAWS.format(seed=_seed_sql(report.SEED))}
+  SELECT image_id::INT AS image_id, y::INT AS y, x::INT AS x, (a & 255)::INT AS r, ((a >> 8) & 255)::INT AS g, ((a >> 16) & 255)::INT AS b FROM scene JOIN st ON st.i = obj_id""")
+def objects_overlay_px(spark, d):
+    return report.objects_overlay(views.scenes(spark, d), views.scene_mask(spark, d))
+
+
+@query(f"""WITH RECURSIVE {views.SIDES}, {_SCENE_PX},
+  cs(i, a) AS (SELECT -1, {report.SEED}::BIGINT UNION ALL SELECT i + 1, xor(c, (c << 5) & 4294967295) FROM (SELECT i, xor(b, b >> 17) AS c FROM (SELECT i, xor(a, (a << 13) & 4294967295) AS b FROM cs WHERE i < 4))),
+  corner AS (SELECT image_id, obj_id, lx AS cx, ly AS cy FROM px WHERE i = 0),
+  red AS (SELECT DISTINCT scene.image_id, scene.obj_id, ly, lx FROM scene JOIN corner USING (image_id, obj_id) WHERE abs(lx - cx) <= 2 AND abs(ly - cy) <= 2),
+  on_side AS (SELECT image_id, obj_id, ly, lx, max(side_id) AS side_id FROM px GROUP BY ALL),
+  t AS (SELECT s.image_id, s.obj_id, s.ly, s.lx, red.ly IS NOT NULL AS is_red, a FROM scene s LEFT JOIN red USING (image_id, obj_id, ly, lx) LEFT JOIN on_side USING (image_id, obj_id, ly, lx) LEFT JOIN cs ON cs.i = on_side.side_id)
+  SELECT image_id::BIGINT AS image_id, obj_id, ly::INT AS y, lx::INT AS x, CASE WHEN is_red THEN 255 ELSE coalesce(a & 255, {report.GROUND}) END::INT AS r,
+    CASE WHEN is_red THEN 0 ELSE coalesce((a >> 8) & 255, {report.GROUND}) END::INT AS g, CASE WHEN is_red THEN 0 ELSE coalesce((a >> 16) & 255, {report.GROUND}) END::INT AS b FROM t""")
+def corners_px(spark, d):
+    return report.corners_on_mask(_own(spark, d), _sides(spark, d, 2))
+
+
+@query(f"WITH {_SOBEL}, m AS (SELECT *, sqrt(dx * dx + dy * dy) AS mag FROM s) SELECT image_id, x AS x0, y AS y0, round(x + 6.0 * dx / mag)::INT AS x1, round(y + 6.0 * dy / mag)::INT AS y1 FROM m WHERE y % 5 = 0 AND x % 5 = 0 AND mag > 300")
+def gradient_arrows(spark, d):
+    return drawing.arrow_lines(raster.sobel(views.raster(spark, d)), 300.0, 5, 6.0)
+
+
+@query(f"WITH {_SOBEL}, t AS (SELECT image_id, max(abs(dx)) AS top FROM s GROUP BY image_id) SELECT s.image_id, y, x, round(127.5::DOUBLE + 127.5::DOUBLE * dx / top)::INT AS dx FROM s JOIN t USING (image_id)")
+def signed_px(spark, d):
+    return drawing.signed_view(raster.sobel(views.raster(spark, d)), "dx")
+
+
+@query(f"""WITH {_SOBEL}, m AS (SELECT *, sqrt(dx * dx + dy * dy) AS mag, CASE WHEN sqrt(dx * dx + dy * dy) <= 1e-6 THEN 0 ELSE degrees(atan2(dy, dx)) + CASE WHEN atan2(dy, dx) < 0 THEN 360 ELSE 0 END END AS angle FROM s),
+  t AS (SELECT image_id, max(mag) AS top FROM m GROUP BY image_id), v AS (SELECT m.image_id, y, x, mag / top AS v, angle / 60 AS h, unnest([5.0, 3.0, 1.0])::DOUBLE AS shift, unnest(['r', 'g', 'b']) AS c FROM m JOIN t USING (image_id)),
+  k AS (SELECT *, (shift + h) - 6 * floor((shift + h) / 6) AS k FROM v)
+  SELECT image_id, y, x, c, round(255 * (v - v * greatest(0, least(k, 4 - k, 1))), 3) AS u FROM k""")
+def hue_px(spark, d):
+    """The colours of directions before they are rounded to bytes."""
+    g = raster.sobel(views.raster(spark, d))
+    top = g.groupBy("image_id").agg(F.max("mag").alias("top"))
+    g = g.join(top, "image_id").withColumn("v", F.col("mag") / F.col("top"))
+    shares = F.array(*[F.struct(F.lit(n).alias("c"), c.alias("u")) for n, c in zip("rgb", pixels.hue_share(F.col("angle"), F.col("v")))])
+    return g.select("image_id", "y", "x", F.explode(shares).alias("s")).select("image_id", "y", "x", "s.c", _r(F.col("s.u"), 3).alias("u"))
+
+
+@query(f"""WITH {views.samples_sql(40)}, sv AS (SELECT image_id, obj_id, side_id, c, list(u::DOUBLE ORDER BY k) AS v FROM smp GROUP BY ALL),
+  centre AS (SELECT image_id, obj_id, side_id, round(sum(lx) / any_value(n))::INT AS cx, round(sum(ly) / any_value(n))::INT AS cy FROM (SELECT DISTINCT image_id, obj_id, side_id, n, i, lx, ly FROM pc) GROUP BY ALL),
+  zm AS (SELECT *, list_avg(v) AS mean, list_sum(list_transform(v, lambda y: (y - list_avg(v)) * (y - list_avg(v)))) AS sq FROM sv),
+  z AS (SELECT * EXCLUDE v, list_transform(v, lambda x: (x - mean) / CASE WHEN sq < 1e-12 THEN 1 ELSE sqrt(sq) END) AS v FROM zm),
+  pair AS (SELECT a.image_id, a.obj_id AS a, a.side_id AS b, e.obj_id AS c, e.side_id AS d,
+      1 - sum(CASE WHEN least(a.sq, e.sq) < 1e-12 THEN CASE WHEN abs(a.mean - e.mean) < 1e-6 THEN 1 ELSE 0 END ELSE least(greatest(list_dot_product(a.v, list_reverse(e.v)), -1), 1) END) / 3 AS dist
+    FROM z a JOIN z e ON a.image_id = e.image_id AND a.c = e.c AND a.obj_id <> e.obj_id GROUP BY ALL),
+  best AS (SELECT * FROM pair QUALIFY row_number() OVER (PARTITION BY image_id, a, b ORDER BY dist, c, d) = 1)
+  SELECT best.image_id::BIGINT AS image_id, a::BIGINT AS a, b::BIGINT AS b, p.cx AS x0, p.cy AS y0, q.cx AS x1, q.cy AS y1 FROM best
+  JOIN centre p ON p.image_id = best.image_id AND p.obj_id = a AND p.side_id = b JOIN centre q ON q.image_id = best.image_id AND q.obj_id = c AND q.side_id = d""")
+def best_match_lines(spark, d):
+    s = _sides(spark, d)
+    centres = s.select("image_id", "obj_id", "side_id", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    return matching.best_lines(matching.best_matches(s, 1), centres)
+
+
+@query(f"""WITH {views.SIDES}, {_SCENE_PX}, ground AS (SELECT image_id, y, x FROM (SELECT DISTINCT image_id FROM obj), range(96) a(y), range(128) b(x))
+  SELECT g.image_id::BIGINT AS image_id, g.y::INT AS y, g.x::INT AS x, coalesce(s.r, 2)::INT AS r, coalesce(s.g, 2)::INT AS g, coalesce(s.b, 2)::INT AS b FROM ground g LEFT JOIN scene s ON s.image_id = g.image_id AND s.y = g.y // 2 AND s.x = g.x // 2""")
+def png_round_trip(spark, d):
+    """The photos written as PNG files to the shared folder and read back from there."""
+    path = shared.new_folder(spark, "pictures")
+    images.save_images(views.photos(spark, d), path)
+    read = images.load_images(spark, path)
+    names = read.select("image_id", F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("long").alias("id"))
+    return images.to_pixels(read).join(names, "image_id").select(F.col("id").alias("image_id"), "y", "x", "r", "g", "b")

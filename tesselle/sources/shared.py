@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A new path under the shared folder, as a URI."""
+    shared_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{tag}-{uuid.uuid4().hex}"
+
+
 def shared_checkpoints(spark: SparkSession) -> None:
     """Have checkpoints go to the folder of ``spark.checkpoint.dir``.
 
