@@ -626,7 +626,7 @@ def swatch_px(spark, d):
 
 
 @query(f"""WITH RECURSIVE {views.SIDES}, {_SCENE_PX}, {_DRAWS.format(seed=_seed_sql(report.SEED))}
-  SELECT image_id::INT AS image_id, y::INT AS y, x::INT AS x, (a & 255)::INT AS r, ((a >> 8) & 255)::INT AS g, ((a >> 16) & 255)::INT AS b FROM scene JOIN st ON st.i = obj_id""")
+  SELECT image_id::BIGINT AS image_id, y::INT AS y, x::INT AS x, (a & 255)::INT AS r, ((a >> 8) & 255)::INT AS g, ((a >> 16) & 255)::INT AS b FROM scene JOIN st ON st.i = obj_id""")
 def objects_overlay_px(spark, d):
     return report.objects_overlay(views.scenes(spark, d), views.scene_mask(spark, d))
 
