@@ -48,8 +48,9 @@ BLANK = _byte_table()[32]
 
 #: Kinds of characters that the split tells apart.
 OTHER, LETTER, NUMBER, SPACE = range(4)
-#: Characters of a text that are split at once, and pre-tokens that are looked up at once.
-RUN, TOKENS = 1 << 18, 1 << 16
+#: Characters of a text that are one run, and of the runs that are handled together, at most about.
+RUN, GROUP = 1 << 18, 1 << 19
+_BASE = 0x9E3779B97F4A7C15
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -66,6 +67,17 @@ def kinds() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and those of its inverse."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n + 1, base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
+
+
 def starts(text: str) -> np.ndarray:
     """Places where the pre-tokens of a text begin, the split of PRETOKEN found for all places at once.
 
@@ -92,8 +104,10 @@ def starts(text: str) -> np.ndarray:
 class UnitEncoder(Memory):
     """Encodes texts by a tokenizers file; pre-tokens are remembered as packed ids.
 
-    Pre-tokens are encoded on their own by the library's model, as the library does. Texts that hold a
-    special token's string go through the library as a whole, which gives such a string the token's id.
+    Pre-tokens are encoded on their own by the library's model, as the library does. Texts are encoded
+    together: each distinct pre-token of a group is looked up once, told by a hash and then compared
+    character by character, and the ids are gathered in one step. Texts that hold a special token's
+    string go through the library as a whole, which gives such a string the token's id.
     """
 
     def __init__(self, path: str, most: int = 300_000):
@@ -118,21 +132,59 @@ class UnitEncoder(Memory):
 
     def encode(self, text: str, run: int = RUN) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.special(text):
-            ids = self.tok.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        if len(text) <= run:
-            return self._run(text)
-        return b"".join(map(self._run, _runs(text, run)))
-
-    def _run(self, text: str) -> bytes:
-        at = starts(text).tolist()
-        at.append(len(text))
-        if len(at) <= TOKENS:
-            return b"".join(map(self.__getitem__, [text[a:b] for a, b in zip(at, at[1:])]))
-        return b"".join(b"".join(map(self.__getitem__, [text[a:b] for a, b in zip(at[k : k + TOKENS], at[k + 1 : k + TOKENS + 1])])) for k in range(0, len(at) - 1, TOKENS))
+        return self.encode_all([text], run)[0]
+
+    def encode_all(self, texts: list[str | None], run: int = RUN, group: int = GROUP) -> list[bytes]:
+        """Ids of whole texts; null texts have none."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        own, runs, size = [], [], 0
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if self.special(text):
+                ids = self.tok.encode(text, add_special_tokens=False).ids
+                out[k].append(struct.pack(f"<{len(ids)}I", *ids))
+                continue
+            for part in [text] if len(text) <= run else _runs(text, run):
+                if runs and size + len(part) > group:
+                    for j, ids in zip(own, self._group(runs)):
+                        out[j].append(ids)
+                    own, runs, size = [], [], 0
+                own.append(k)
+                runs.append(part)
+                size += len(part)
+        for j, ids in zip(own, self._group(runs) if runs else []):
+            out[j].append(ids)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def _group(self, runs: list[str]) -> list[bytes]:
+        text = "".join(runs)
+        split = [starts(t) for t in runs]
+        count, length = np.array([len(x) for x in split]), np.array([len(t) for t in runs])
+        at = np.concatenate(split) + np.repeat(np.cumsum(length) - length, count)
+        size = np.diff(at, append=len(text))
+        ch = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        power, inverse = _powers(max(GROUP, 1 << (len(ch) - 1).bit_length()))
+        total = np.cumsum((ch + np.uint64(1)) * power[: len(ch)], dtype=np.uint64)
+        before = np.concatenate([np.zeros(1, np.uint64), total])
+        coded = pa.array((before[at + size] - before[at]) * inverse[at]).dictionary_encode()
+        code = coded.indices.to_numpy()
+        first = np.zeros(len(coded.dictionary), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        same = at[first][code]
+        if (size != size[first][code]).any() or (ch[np.arange(len(ch)) + np.repeat(same - at, size)] != ch).any():
+            bounds = [*at.tolist(), len(text)]  # two strings of one hash
+            ids = list(map(self.__getitem__, (text[a:b] for a, b in zip(bounds, bounds[1:]))))
+            ends = np.cumsum(count)
+            return [b"".join(ids[b - n : b]) for n, b in zip(count, ends)]
+        a = at[first]
+        ids = [self[text[i:j]] for i, j in zip(a.tolist(), (a + size[first]).tolist())]
+        flat, n = np.frombuffer(b"".join(ids), np.uint32), np.array([len(x) for x in ids]) // 4
+        wide = n[code]
+        ends = np.cumsum(wide)
+        packed = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(n) - n)[code] - (ends - wide), wide)].tobytes()
+        last = 4 * ends[np.cumsum(count) - 1]
+        return [packed[i:j] for i, j in zip([0, *last[:-1].tolist()], last.tolist())]
 
 
 def _runs(text: str, most: int) -> Iterator[str]:
@@ -219,7 +271,7 @@ class ShardReader:
         return got
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0, batch: int = 256) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0, batch: int = 512) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into seekable shards under ``out``; returns their manifest.
 
     Range partitions of doc_id become shards, so that shard number and frame number follow
@@ -243,12 +295,12 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0
         for b in batches:
             for k in range(0, b.num_rows, batch):
                 part = b.slice(k, batch)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode_all(part.column(1).to_pylist())):
                     if writer is None:
                         fs.create_dir(base, recursive=True)
                         file = fs.open_output_stream(draft)
                         writer = ShardWriter(file)
-                    ids = enc.encode(text or "") + end
+                    ids += end
                     writer.add(doc_id, ids)
                     n_docs, n_ids = n_docs + 1, n_ids + len(ids) // 4
                     lo, hi = (doc_id if lo is None else lo), doc_id

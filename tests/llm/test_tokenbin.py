@@ -3,6 +3,7 @@ import struct
 import zlib
 from functools import lru_cache
 
+import numpy as np
 import pytest
 from pyarrow import fs
 from tokenizers import Tokenizer
@@ -58,6 +59,16 @@ def test_runs_of_long_texts():
         assert e.encode(t, 7) == e.encode(t) and "".join(tokenbin._runs(t, 7)) == t
 
 
+def test_texts_together_equal_texts_alone(monkeypatch):
+    e, rng = tokenbin.UnitEncoder(FILE, most=50), random.Random(14)
+    texts = ["".join(rng.choices(["a", "b ", " ", "é", "\n", "the ", "\x00", "日本", "\U0001f600", "'s ", "<|endoftext|>", ". "], k=rng.randrange(30))) for _ in range(400)] + [None, "", *TEXTS]
+    want = [struct.pack(f"<{len(whole(t))}I", *whole(t)) for t in texts]
+    for group in (1, 40, 10**6):
+        assert e.encode_all(texts, 25, group) == want
+    monkeypatch.setattr(tokenbin, "_powers", lambda n: (np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)))  # hashes that collide
+    assert e.encode_all(texts) == want
+
+
 def test_shards_read_back(spark, odd):
     got = tokenbin.tokenize_to_shards(odd, FILE).collect()
     assert len(got) == 10
