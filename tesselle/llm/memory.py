@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 from typing import Any
 
+import pyarrow as pa
+
 #: Results remembered in each of two generations, and the longest string that is remembered.
 MOST, LONGEST = 100_000, 32
 
 
+def release() -> None:
+    """Give back to the system what a finished step has freed; allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Memory(dict):
     """Results of ``make`` by string, in two generations.
 

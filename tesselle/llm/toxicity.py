@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesselle.llm.langid import MOST_LANGS, key_rates, rate_column, slices, unit_hash
-from tesselle.llm.memory import Memory
+from tesselle.llm.memory import Memory, release
 from tesselle.llm.storage import text_rows
 from tesselle.llm.words import pieces
 
@@ -270,6 +270,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, params: Params = Par
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([words.ids(t).tobytes() for t in texts], pa.binary()), part.column(2), part.column(3)], names=["doc_id", "ids", "lang", "toxic"])
 
     got = taken.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.col("toxic").cast("int").alias("toxic")).mapInArrow(hashed, "doc_id long, ids binary, lang string, toxic int").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+    model = _learn(got, rates, params)
+    del got
+    release()
+    return model
+
+
+def _learn(got: pa.Table, rates: dict, params: Params) -> Model:
     docs = [np.frombuffer(x, np.int32) for x in got.column("ids").to_pylist()]
     label = np.array(got.column("toxic").to_pylist(), np.int64)
     if not len(label) or label.min() == label.max():
