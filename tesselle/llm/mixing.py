@@ -86,7 +86,7 @@ def plan(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...
         word_count(F.col("text")).alias("size"),
         key.alias("__key"),
     ).withColumn("bucket", F.substring("__key", 1, digits))
-    sums = sized.groupBy("nosrc", "src", "bucket").agg(F.sum("size").alias("words"))
+    sums = materialize(sized.groupBy("nosrc", "src", "bucket").agg(F.sum("size").alias("words")), "buckets")
     group = F.substring("bucket", 1, digits // 2)
     groups = sums.groupBy("nosrc", "src", group.alias("grp")).agg(F.sum("words").alias("words"))
     groups = groups.withColumn("ahead", _before(["nosrc", "src"], ["grp"], "words"))
