@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesselle.llm.memory import tidy
 from tesselle.llm.storage import text_rows
 
 UND = "und"
@@ -230,7 +231,7 @@ def fit(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_PER_LANG, dim: i
         yield pa.RecordBatch.from_pylist([{"lang": k, "v": v.tobytes()} for k, v in sums.items()], schema=pa.schema([("lang", pa.string()), ("v", pa.binary())]))
 
     total: dict[str, np.ndarray] = {}
-    for r in taken.mapInArrow(bundle, "lang string, v binary").toLocalIterator():
+    for r in taken.mapInArrow(tidy(bundle), "lang string, v binary").toLocalIterator():
         total[r.lang] = total.get(r.lang, 0) + np.frombuffer(r.v, np.float64)
     total = {k: v for k, v in total.items() if np.linalg.norm(v) > 0}
     langs = sorted(total)
@@ -259,7 +260,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, declar
 
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("declared_score", T.DoubleType())])
     said = F.col(declared).cast("string") if declared else F.lit(None).cast("string")
-    out = docs.select(*keep, said.alias("__said"), F.col("text").alias("__text")).mapInArrow(run, schema)
+    out = docs.select(*keep, said.alias("__said"), F.col("text").alias("__text")).mapInArrow(tidy(run), schema)
     text_rows(out)
     return out if declared else out.drop("declared_score")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -20,6 +21,18 @@ def release() -> None:
         pass
 
 
+def tidy(kernel: Callable) -> Callable:
+    """A kernel over batches that gives back at its end what it has freed, as its worker waits for the next task."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from kernel(batches)
+        finally:
+            release()
+
+    return run
+
+
 class Memory(dict):
     """Results of ``make`` by string, in two generations.
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselle.llm.memory import Memory
+from tesselle.llm.memory import Memory, tidy
 from tesselle.llm.storage import materialize, text_rows
 
 MARK = "▁"
@@ -413,7 +413,7 @@ def _encode(docs: DataFrame, model_path: str, keep: list[str], made: str, finish
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], n, *finish(enc, ids, part)], names=names)
 
     text_rows(docs)
-    one_task = docs.filter(size <= block).select(*keep, F.col("text").alias("__text")).mapInArrow(whole, f"{fields}, n_chunks long, {made}")
+    one_task = docs.filter(size <= block).select(*keep, F.col("text").alias("__text")).mapInArrow(tidy(whole), f"{fields}, n_chunks long, {made}")
     return one_task.unionByName(_encode_long(docs.filter(size > block), model_path, keep, fields, names, made, finish, chunk, block, fan))
 
 
@@ -475,7 +475,7 @@ def _encode_long(docs: DataFrame, model_path: str, keep: list[str], fields: str,
                 s, n, e, x = (part.column(c)[0].as_py() for c in ("__s", "__len", "entry", "leave"))
                 yield pa.RecordBatch.from_arrays([part.column("__row"), part.column("__k"), pa.array([enc.block(s, n, e, x, chunk)], pa.binary())], names=["__row", "__k", "ids"])
 
-    traced = spread.join(edges, ["__row", "__k"]).mapInArrow(trace, "__row long, __k long, ids binary")
+    traced = spread.join(edges, ["__row", "__k"]).mapInArrow(tidy(trace), "__row long, __k long, ids binary")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows: the ids of a document's blocks follow one another; the first row has its columns."""
@@ -497,4 +497,4 @@ def _encode_long(docs: DataFrame, model_path: str, keep: list[str], fields: str,
             yield done()
 
     whole = traced.join(blocks.select("__row", "__k", *keep, "n_chunks"), ["__row", "__k"]).select("__row", "__k", *keep, "n_chunks", "ids")
-    return whole.repartition("__row").sortWithinPartitions("__row", "__k").mapInArrow(join, f"{fields}, n_chunks long, {made}")
+    return whole.repartition("__row").sortWithinPartitions("__row", "__k").mapInArrow(tidy(join), f"{fields}, n_chunks long, {made}")

@@ -23,7 +23,7 @@ from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesselle.llm.memory import Memory
+from tesselle.llm.memory import Memory, tidy
 from tesselle.llm.storage import filesystem, new_path, text_rows
 
 # Fixed values of the seekable format.
@@ -311,7 +311,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{out}/shard-{shard:06d}.zst", "n_docs": n_docs, "n_ids": n_ids, "least": lo, "most": hi}], schema=pa.schema([(c, pa.string() if c == "path" else pa.int64()) for c in ("shard", "path", "n_docs", "n_ids", "least", "most")]))
 
     ordered = text_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(encode, "shard long, path string, n_docs long, n_ids long, least long, most long").write.mode("overwrite").parquet(f"{out}/manifest")
+    ordered.mapInArrow(tidy(encode), "shard long, path string, n_docs long, n_ids long, least long, most long").write.mode("overwrite").parquet(f"{out}/manifest")
     fs, base = filesystem(out)
     for f in fs.get_file_info(FileSelector(base, allow_not_found=True)):
         if f.base_name.startswith("draft-"):

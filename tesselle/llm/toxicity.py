@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesselle.llm.langid import MOST_LANGS, key_rates, rate_column, slices, unit_hash
-from tesselle.llm.memory import Memory, release
+from tesselle.llm.memory import Memory, release, tidy
 from tesselle.llm.storage import text_rows
 from tesselle.llm.words import pieces
 
@@ -269,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, params: Params = Par
             for part, texts in slices(b, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([words.ids(t).tobytes() for t in texts], pa.binary()), part.column(2), part.column(3)], names=["doc_id", "ids", "lang", "toxic"])
 
-    got = taken.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.col("toxic").cast("int").alias("toxic")).mapInArrow(hashed, "doc_id long, ids binary, lang string, toxic int").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+    got = taken.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.col("toxic").cast("int").alias("toxic")).mapInArrow(tidy(hashed), "doc_id long, ids binary, lang string, toxic int").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
     model = _learn(got, rates, params)
     del got
     release()
@@ -313,4 +313,4 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64())], names=[*keep, "score"])
 
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(tidy(run), schema)
