@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tesselle.llm.components import connected_components
 from tesselle.llm.langid import slices
-from tesselle.llm.memory import Memory
-from tesselle.llm.storage import discard, materialize, text_rows
+from tesselle.llm.memory import Memory, tidy
+from tesselle.llm.storage import discard, materialize, sweep, text_rows
 from tesselle.llm.words import pieces
 
 WIDTH = 5
@@ -129,7 +129,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 arrays = [part.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * K), flat)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "h1", "h2", "sig"])
 
-    return text_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig array<int>")
+    return text_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n long, h1 long, h2 long, sig array<int>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))], names=["doc_id", "h1", "h2", "shingles"])
 
-    return text_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, shingles array<long>")
+    return text_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, h1 long, h2 long, shingles array<long>")
 
 
 def _fits(a: str, b: str, link: int) -> str:
@@ -245,7 +245,7 @@ def link_components(docs: DataFrame, link: int = LINK, block: int = BLOCK, block
     are. Rows that share a doc_id are one node, linked by any of their texts; rows with a null doc_id
     link with nothing and have a null component. Other columns are ignored.
     """
-    least = least_matches(link)
+    least, spark = least_matches(link), docs.sparkSession
     sig = materialize(signatures(docs), "signatures")
     usable = sig.filter("n > 0 and doc_id is not null")
     # Items are distinct sets, named by their smallest doc_id, or by a number beyond all ids where that id has several sets.
@@ -258,10 +258,12 @@ def link_components(docs: DataFrame, link: int = LINK, block: int = BLOCK, block
     same_id = usable.select("doc_id", "h1", "h2").join(several.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").distinct().join(items.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     lists = materialize(_prefix_lists(items.select("rep", "n", "sig"), least), "lists")
+    sweep(spark)
     wanted = lists.select("rep").distinct().join(items.select("rep", "first", "h1", "h2"), "rep").select(F.col("first").alias("doc_id"), "rep", "h1", "h2")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_grows(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
     sets = shingle_sets(texts).join(wanted, ["doc_id", "h1", "h2"]).select("rep", "shingles").dropDuplicates(["rep"])
     sets = materialize(sets, "sets")
+    sweep(spark)
     of = items.select("rep", "sig")
 
     # First pass: each document against the most central member of its lists, the best of these by collisions.
@@ -270,6 +272,7 @@ def link_components(docs: DataFrame, link: int = LINK, block: int = BLOCK, block
     met = met.join(of.select(F.col("rep").alias("b"), F.col("sig").alias("tb")), "b").join(of.select(F.col("rep").alias("a"), F.col("sig").alias("ta")), "a")
     best = met.select("a", "b", _collisions("ta", "tb").alias("c")).filter(F.col("c") >= least).groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("r"))).alias("x")).select("a", (-F.col("x.r")).alias("b"))
     links = materialize(_confirm(best, sets, link).union(same_id), "links")
+    sweep(spark)
     first = connected_components(links)
 
     # Second pass: lists that hold several components.
@@ -279,6 +282,7 @@ def link_components(docs: DataFrame, link: int = LINK, block: int = BLOCK, block
     open_lists = labelled.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token", "m", "w")
     rest = materialize(labelled.join(open_lists, "token"), "open")
     discard(labelled)
+    sweep(spark)
     x, y = rest.filter(F.col("m") <= SHORT_LIST).alias("x"), rest.filter(F.col("m") <= SHORT_LIST).alias("y")
     near = x.join(y, F.expr(f"x.token = y.token and x.rep < y.rep and x.comp <> y.comp and {_fits('x.n', 'y.n', link)}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     near = near.join(of.select(F.col("rep").alias("b"), F.col("sig").alias("tb")), "b").join(of.select(F.col("rep").alias("a"), F.col("sig").alias("ta")), "a").filter(_collisions("ta", "tb") >= least)

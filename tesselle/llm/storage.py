@@ -7,6 +7,7 @@ folder named by ``spark.checkpoint.dir``. Only where that setting is absent and
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -71,6 +72,13 @@ def discard(*tables: DataFrame) -> None:
             delete(t.sparkSession, path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have Spark delete now the shuffle files of steps whose results are written; else they stay on the executors'
+    disks until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
