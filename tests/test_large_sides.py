@@ -22,3 +22,8 @@ def sent_by_pixel(df):
 def test_photos_are_not_sent_to_all_executors(spark):
     assert not sent_by_pixel(views.photos(spark, DATA))
     assert not sent_by_pixel(catalog.QUERIES["solve"](spark, DATA))
+
+
+@tables
+def test_objects_pixels_are_not_sent_to_all_executors(spark):
+    assert not sent_by_pixel(catalog.QUERIES["corners_px"](spark, DATA))
