@@ -35,3 +35,11 @@ def test_downscaled_grids_are_not_sent_to_all_executors(spark):
     for small in (raster.downscale_bilinear(pixels, 1.6), raster.downscale_nearest(pixels, 2.0)):
         assert not [x for x in small._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x and "image_id" in x]
         assert {r.v for r in small.collect()} == {7}
+
+
+def test_mark_of_very_many_edges(spark):
+    n = 20_000_000
+    e = spark.range(1, n + 1).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    got = stars.mark(e)
+    assert got[0] == n
+    assert stars.mark(e.repartition(3)) == got != stars.mark(e.withColumn("b", F.when(F.col("a") == 5, 3).otherwise(F.col("b"))))
