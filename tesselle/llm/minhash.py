@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ LINK = 85
 MISS = 5e-5
 #: Longest list whose pairs are made by a join; longer ones are cut into blocks of so many shingles and documents.
 SHORT_LIST, BLOCK, BLOCK_ROWS = 8, 60_000, 1000
+#: Rounds in which texts are dealt out for their shingle sets, so that only a part of them lies on the executors' disks at once.
+ROUNDS = 4
 #: Ids of items whose smallest doc_id stands for several texts.
 EXTRA = 1 << 62
 
@@ -170,6 +173,33 @@ def _confirm(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
     return both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb") - common).alias("u")).filter(f"100 * i >= {link} * u").select("a", "b")
 
 
+def _candidates(data: pa.Table, least: int) -> np.ndarray:
+    """Whether rows (comp, side, sig) of a block pair have ``least`` collisions, in two components, as a square."""
+    comp, side = (data.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("comp", "side"))
+    n = len(comp)
+    sig = data.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    hits = np.zeros((n, n), np.uint8)
+    for k in range(sig.shape[1]):
+        hits += sig[:, k, None] == sig[None, :, k]
+    ok = (hits >= least) & (comp[:, None] != comp[None, :])
+    if side.max(initial=0) > 0:
+        ok &= side[:, None] != side[None, :]
+    return ok
+
+
+#: Rows of block pairs, without signatures and shingles.
+PLACED = ["rep", "comp", "token", "i", "j", "side"]
+
+
+def _block_met(least: int) -> Callable[[pa.Table], pa.Table]:
+    """Kernel: the rows of a block pair that collide often enough with another, so that only their shingles are sent."""
+
+    def run(data: pa.Table) -> pa.Table:
+        return data.select(PLACED).filter(pa.array(_candidates(data, least).any(axis=0)))
+
+    return run
+
+
 def _block_links(link: int, least: int) -> Callable[[pa.Table], pa.Table]:
     """Kernel: spanning links between components of a block pair, rows (rep, comp, side, sig, shingles), sides 0 and 1, or 0 alone.
 
@@ -177,17 +207,10 @@ def _block_links(link: int, least: int) -> Callable[[pa.Table], pa.Table]:
     """
 
     def run(data: pa.Table) -> pa.Table:
-        reps, comp, side = (data.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rep", "comp", "side"))
-        n, none = len(reps), pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        sig = data.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-        hits = np.zeros((n, n), np.uint8)
-        for k in range(sig.shape[1]):
-            hits += sig[:, k, None] == sig[None, :, k]
-        ok = (hits >= least) & (comp[:, None] != comp[None, :])
-        if side.max(initial=0) > 0:
-            ok &= side[:, None] != side[None, :]
+        reps, comp = (data.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rep", "comp"))
+        ok = _candidates(data, least)
         if not ok.any():
-            return none
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         own = np.flatnonzero(ok.any(axis=0))
         ok = ok[np.ix_(own, own)]
         reps, comp = reps[own], comp[own]
@@ -260,10 +283,15 @@ def link_components(docs: DataFrame, link: int = LINK, block: int = BLOCK, block
     lists = materialize(_prefix_lists(items.select("rep", "n", "sig"), least), "lists")
     sweep(spark)
     wanted = lists.select("rep").distinct().join(items.select("rep", "first", "h1", "h2"), "rep").select(F.col("first").alias("doc_id"), "rep", "h1", "h2")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_grows(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = shingle_sets(texts).join(wanted, ["doc_id", "h1", "h2"]).select("rep", "shingles").dropDuplicates(["rep"])
-    sets = materialize(sets, "sets")
-    sweep(spark)
+    parts = []
+    for k in range(ROUNDS):
+        mine = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k
+        own = wanted.filter(mine)
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(mine).join(_grows(own.select("doc_id").distinct()), "doc_id", "left_semi")
+        part = shingle_sets(texts).join(own, ["doc_id", "h1", "h2"]).select("rep", "shingles").dropDuplicates(["rep"])
+        parts.append(materialize(part, "sets"))
+        sweep(spark)
+    sets = reduce(DataFrame.union, parts)
     of = items.select("rep", "sig")
 
     # First pass: each document against the most central member of its lists, the best of these by collisions.
@@ -286,16 +314,23 @@ def link_components(docs: DataFrame, link: int = LINK, block: int = BLOCK, block
     x, y = rest.filter(F.col("m") <= SHORT_LIST).alias("x"), rest.filter(F.col("m") <= SHORT_LIST).alias("y")
     near = x.join(y, F.expr(f"x.token = y.token and x.rep < y.rep and x.comp <> y.comp and {_fits('x.n', 'y.n', link)}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     near = near.join(of.select(F.col("rep").alias("b"), F.col("sig").alias("tb")), "b").join(of.select(F.col("rep").alias("a"), F.col("sig").alias("ta")), "a").filter(_collisions("ta", "tb") >= least)
-    pairs = _confirm(near, sets, link)
+    pairs = materialize(_confirm(near, sets, link), "pairs")
+    sweep(spark)
 
     blocks = F.greatest(F.ceil(F.col("w") / block), F.ceil(F.col("m") / block_rows)).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     spread = rest.filter(F.col("m") > SHORT_LIST).withColumn("blocks", blocks).withColumn("own", own)
     spread = spread.select("token", "rep", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("rep", "comp", "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    blocked = spread.join(_grows(sets.join(_grows(of), "rep")), "rep").groupBy("token", "i", "j").applyInArrow(_block_links(link, least), "a long, b long")
+    spread = spread.select(*PLACED)
+    met = materialize(spread.join(_grows(of), "rep").groupBy("token", "i", "j").applyInArrow(_block_met(least), spread.schema), "met")
+    discard(rest)
+    sweep(spark)
+    blocked = materialize(met.join(_grows(sets.join(_grows(of), "rep")), "rep").groupBy("token", "i", "j").applyInArrow(_block_links(link, least), "a long, b long"), "blocked")
+    discard(met, *parts)
+    sweep(spark)
     everything = connected_components(links.union(pairs).union(blocked))
-    discard(sets, rest, links, first)
+    discard(links, pairs, blocked, first)
 
     groups = items.select("h1", "h2", "rep").join(everything.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
     found = sig.select("doc_id", "n", "h1", "h2").join(groups, ["h1", "h2"], "left")
@@ -303,4 +338,5 @@ def link_components(docs: DataFrame, link: int = LINK, block: int = BLOCK, block
     out = found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("rep", "doc_id").alias("set_rep")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     out = materialize(out, "components")
     discard(sig, several, items, everything)
+    sweep(spark)
     return out

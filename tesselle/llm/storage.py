@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,9 +75,12 @@ def discard(*tables: DataFrame) -> None:
 
 def sweep(spark: SparkSession) -> None:
     """Have Spark delete now the shuffle files of steps whose results are written; else they stay on the executors'
-    disks until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    disks until the driver happens to collect its garbage. The first round lets go of what Python held, the second
+    finds what the JVM's listeners held meanwhile."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def delete(spark: SparkSession, path: str) -> None:

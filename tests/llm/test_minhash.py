@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from tesselle.llm import minhash
@@ -88,3 +89,25 @@ def test_texts_in_runs_have_the_same_shingles(monkeypatch):
     assert [x for t in words.pieces(text, 10) for x in t.split()] == text.split() and "".join(words.pieces(text, 10)) == text
     monkeypatch.setattr(words.pieces, "__defaults__", (10,))
     assert minhash.WordHashes().shingles(text).tolist() == want
+
+
+def test_only_rows_that_may_link_are_sent_with_their_shingles():
+    sig = [[1] * 48, [1] * 30 + [2] * 18, [3] * 48, [1] * 48, [4] * 48]
+    data = pa.table({"rep": [10, 11, 12, 13, 14], "comp": [10, 11, 12, 10, 14], "token": [7] * 5, "i": [0] * 5, "j": [0] * 5, "side": [0] * 5, "sig": pa.array(sig, pa.list_(pa.int32()))})
+    met = minhash._block_met(30)(data)
+    assert met.column_names == minhash.PLACED
+    assert met.column("rep").to_pylist() == [10, 11, 13]
+
+
+def test_few_bytes_stay_on_disk(spark, monkeypatch):
+    """Tables that were written under the shared folder are gone when their steps are done, the texts' rounds too."""
+    made, gone = [], []
+    keep, drop = minhash.materialize, minhash.discard
+    monkeypatch.setattr(minhash, "materialize", lambda df, tag: made.append((tag, out := keep(df, tag))) or out)
+    monkeypatch.setattr(minhash, "discard", lambda *t: gone.extend(id(x) for x in t) or drop(*t))
+    rng = random.Random(4)
+    rows = group(rng, 0, 12, 60, 2) + group(rng, 100, 12, 60, 1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert sum(tag == "sets" for tag, _ in made) == minhash.ROUNDS
+    assert [tag for tag, t in made if id(t) not in gone] == ["components"]
