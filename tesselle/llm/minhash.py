@@ -15,7 +15,8 @@ in two passes. First each document is held against the most central member of it
 members of one component need no further comparison. Then lists that still hold several components
 are compared in full. For lists of any length the same pairs are found, those with T collisions and
 a confirmed link: short lists make them by a join, long ones in blocks of bounded rows and shingles,
-whose kernel returns a spanning forest, never the pairs. Documents of equal sets are one item throughout.
+whose kernel returns a spanning forest, never the pairs. Lists of several blocks come last, and in them only
+what lies outside the largest component meets others. Documents of equal sets are one item throughout.
 """
 
 from __future__ import annotations
@@ -251,6 +252,49 @@ def _block_links(link: int, least: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _blocks(m, w, block: int, block_rows: int):
+    """Number of blocks for ``m`` documents of ``w`` shingles."""
+    return F.greatest(F.ceil(w / block), F.ceil(m / block_rows), F.lit(1)).cast("int")
+
+
+def _sizes(rows: DataFrame, key: str) -> DataFrame:
+    """By ``key``: documents and shingles (m, w), and those outside the component ``top`` (mo, wo)."""
+    out = (F.col("comp") != F.col("top")).cast("long")
+    return rows.groupBy(key, "top").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.sum(out).alias("mo"), F.sum(out * F.col("n")).alias("wo"))
+
+
+def _across(lists: DataFrame, block: int, block_rows: int) -> DataFrame:
+    """Block pairs, rows PLACED, of the lists (token, rep, n, comp) that hold several components.
+
+    Only documents outside a list's largest component meet all others; those of the largest are one component and meet the
+    outer ones alone. Lists with one largest component, which share most of their documents, are taken as one list where
+    that makes fewer pairs; so no pair of near copies is met in every list of theirs.
+    """
+    each = lists.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "comp")).alias("x"), F.sum("m").alias("m"))
+    each = each.filter("m > x.m").select("token", F.col("x.comp").alias("top"), (F.col("m") * (F.col("m") - F.col("x.m"))).alias("pairs"))
+    joint = _sizes(lists.join(each, "token").select("rep", "n", "comp", "top").distinct().withColumn("one", F.lit(1)), "one").join(each.groupBy("top").agg(F.sum("pairs").alias("pairs")), "top")
+    keys = each.select("token", "top").join(joint.filter("m * mo <= pairs").select("top", F.col("top").alias("key")), "top", "left").select("token", "top", F.coalesce("key", "token").alias("key"))
+    rows = lists.join(keys, "token").select("key", "top", "rep", "n", "comp").distinct()
+    m, w, mo, wo = map(F.col, ("m", "w", "mo", "wo"))
+    parts = _sizes(rows, "key").select("key", "top", _blocks(mo, wo, block, block_rows).alias("outer"), _blocks(m - mo, w - wo, block, block_rows).alias("inner"))
+    met, hashed, inside = rows.join(parts, ["key", "top"]), F.xxhash64("rep"), F.col("comp") == F.col("top")
+    own = F.when(inside, F.col("outer") + F.pmod(hashed, F.col("inner"))).otherwise(F.pmod(hashed, F.col("outer"))).cast("int")
+    last = F.col("outer") + F.when(inside, 0).otherwise(F.col("inner")) - 1
+    met = met.select(F.col("key").alias("token"), "rep", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return met.select("rep", "comp", "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+
+def _blocked(placed: DataFrame, of: DataFrame, sets: DataFrame, link: int, least: int) -> DataFrame:
+    """Spanning links of block pairs, rows PLACED: signatures are sent first, shingles only of rows that collide often enough."""
+    placed = placed.select(*PLACED)
+    met = materialize(placed.join(_grows(of), "rep").groupBy("token", "i", "j").applyInArrow(_block_met(least), placed.schema), "met")
+    sweep(placed.sparkSession)
+    links = materialize(met.join(_grows(sets.join(_grows(of), "rep")), "rep").groupBy("token", "i", "j").applyInArrow(_block_links(link, least), "a long, b long"), "blocked")
+    discard(met)
+    sweep(placed.sparkSession)
+    return links
+
+
 def _prefix_lists(items: DataFrame, least: int) -> DataFrame:
     """(token, rep, n, central) postings of the prefixes; ``central`` grows with how often a document's tokens occur."""
     tokens = items.select("rep", "n", F.posexplode("sig").alias("k", "v")).select("rep", "n", (F.shiftleft(F.col("k").cast("long"), 32) + (F.col("v").cast("long") + (1 << 31))).alias("token"))
@@ -317,20 +361,21 @@ def link_components(docs: DataFrame, link: int = LINK, block: int = BLOCK, block
     pairs = materialize(_confirm(near, sets, link), "pairs")
     sweep(spark)
 
-    blocks = F.greatest(F.ceil(F.col("w") / block), F.ceil(F.col("m") / block_rows)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    spread = rest.filter(F.col("m") > SHORT_LIST).withColumn("blocks", blocks).withColumn("own", own)
-    spread = spread.select("token", "rep", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("rep", "comp", "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    spread = spread.select(*PLACED)
-    met = materialize(spread.join(_grows(of), "rep").groupBy("token", "i", "j").applyInArrow(_block_met(least), spread.schema), "met")
-    discard(rest)
-    sweep(spark)
-    blocked = materialize(met.join(_grows(sets.join(_grows(of), "rep")), "rep").groupBy("token", "i", "j").applyInArrow(_block_links(link, least), "a long, b long"), "blocked")
-    discard(met, *parts)
+    # Long lists: those of one block first; what they unite need not meet in the lists of several blocks.
+    long = rest.filter(F.col("m") > SHORT_LIST).select("token", "rep", "n", "comp", _blocks(F.col("m"), F.col("w"), block, block_rows).alias("blocks"))
+    single = long.filter("blocks = 1").select("rep", "comp", "token", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+    found, cut = [links, pairs, _blocked(single, of, sets, link, least)], long.filter("blocks > 1")
+    if not cut.isEmpty():
+        merged = connected_components(reduce(DataFrame.union, found))
+        cut = cut.select("token", "rep", "n").join(merged.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        cut = materialize(cut.select("token", "rep", "n", F.coalesce("component", "rep").alias("comp")), "cut")
+        discard(merged)
+        found.append(_blocked(_across(cut, block, block_rows), of, sets, link, least))
+        discard(cut)
+    discard(rest, *parts)
     sweep(spark)
-    everything = connected_components(links.union(pairs).union(blocked))
-    discard(links, pairs, blocked, first)
+    everything = connected_components(reduce(DataFrame.union, found))
+    discard(*found, first)
 
     groups = items.select("h1", "h2", "rep").join(everything.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
     found = sig.select("doc_id", "n", "h1", "h2").join(groups, ["h1", "h2"], "left")

@@ -12,8 +12,11 @@ import tempfile
 import time
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+from tesselle.llm.memory import release
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder as a URI, without a trailing slash."""
@@ -54,6 +57,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    give_back(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._tesselle_path = path
     return out
@@ -83,6 +87,23 @@ def sweep(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the driver return freed memory to the system. The C library else keeps what a step's plans and compilations
+    took, apart for each of the JVM's many threads. JVMs without this command keep it still."""
+    release()
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    lang = jvm.java.lang
+    kinds, args = new(lang.Class, 4), new(lang.Object, 4)
+    try:
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = lang.Class.forName(kind)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = lang.management.ManagementFactory.getPlatformMBeanServer()
+        lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, args)
+    except Py4JError:
+        pass
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

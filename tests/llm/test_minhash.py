@@ -3,7 +3,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from tesselle.llm import minhash
+from tesselle.llm import minhash, storage
 
 
 def sets_of(text):
@@ -111,3 +111,32 @@ def test_few_bytes_stay_on_disk(spark, monkeypatch):
     assert got == brute(rows)
     assert sum(tag == "sets" for tag, _ in made) == minhash.ROUNDS
     assert [tag for tag, t in made if id(t) not in gone] == ["components"]
+
+
+def test_near_copies_do_not_meet_in_every_block_of_every_list(spark, monkeypatch):
+    """Rows that are sent to compare lists of near copies do not grow with the square of their number."""
+    made, keep = [], minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df, tag: made.append((tag, (out := keep(df, tag)).count())) or out)
+    rows = group(random.Random(6), 0, 200, 120, 5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.link_components(spark.createDataFrame(rows, "doc_id long, text string"), 85, 10**6, 10).collect()}
+    assert got == brute(rows)
+    assert sum(n for tag, n in made if tag == "met") < 10_000
+
+
+def test_outer_documents_meet_all_others_of_their_lists(spark):
+    lists = [(t, rep, 5, 0 if rep < 100 else rep) for t in (1, 2, 3) for rep in range(100 + t)]
+    placed = minhash._across(spark.createDataFrame(lists, "token long, rep long, n long, comp long"), 10**6, 10).collect()
+    assert len(placed) == 100 + 3 * 11
+    cells = {}
+    for r in placed:
+        cells.setdefault((r.token, r.i, r.j), []).append(r)
+    met = {(a.rep, b.rep) for c in cells.values() for a in c for b in c if a.comp != b.comp and (a.side != b.side or not any(x.side for x in c))}
+    assert met >= {(a, b) for a in range(100, 103) for b in range(103) if a != b}
+
+
+def test_freed_memory_is_given_back_after_each_step(spark, monkeypatch):
+    gone = []
+    give = storage.give_back
+    monkeypatch.setattr(storage, "give_back", lambda s: gone.append(give(s)))
+    assert storage.materialize(spark.range(3), "three").count() == 3
+    assert len(gone) == 1
